@@ -1,0 +1 @@
+"""Empty on purpose: every question in the catalog is a batch question."""

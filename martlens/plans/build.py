@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from martlens.functions import elapsed_days
 from martlens.model import PERIOD_COLUMNS, STAR, Mart, Normalized, conform
 from martlens.operators.joins import translate_category
+from martlens.session import once_per_session
 from martlens.sources.raw import normalized_tables
 from martlens.sources.stored import written_once
 
@@ -180,8 +181,12 @@ def build_mart(
 
 def open_normalized(spark: SparkSession, folder: str) -> Normalized:
     """Normalized tables over raw files, with the order table written once."""
-    n = normalized_tables(spark, folder)
-    return n.replace(orders=lambda: written_once(spark, folder, "n_orders", lambda: n.orders))
+
+    def opened() -> Normalized:
+        n = normalized_tables(spark, folder)
+        return n.replace(orders=lambda: written_once(spark, folder, "n_orders", lambda: n.orders))
+
+    return once_per_session(spark, ("normalized", folder), opened)
 
 
 def open_mart(spark: SparkSession, folder: str, qty_mode: str = "quantity") -> Mart:
@@ -201,16 +206,15 @@ def open_mart(spark: SparkSession, folder: str, qty_mode: str = "quantity") -> M
     def fact(name: str, make: Callable[[Normalized], DataFrame]) -> Callable[[], DataFrame]:
         return lambda: written_once(spark, folder, name, lambda: make(n), _BY_PERIOD)
 
-    return Mart(
-        {
-            "dim_waktu": dim("dim_waktu", dim_waktu),
-            "dim_pelanggan": dim("dim_pelanggan", dim_pelanggan),
-            "dim_produk": dim("dim_produk", dim_produk),
-            "dim_seller": dim("dim_seller", dim_seller),
-            "dim_metode_pembayaran": dim("dim_metode_pembayaran", dim_metode_pembayaran),
-            "fakta_penjualan": lambda: fakta_penjualan(lines(), qty_mode),
-            "fakta_pengiriman": lambda: fakta_pengiriman(lines()),
-            "fakta_pembayaran": fact("fakta_pembayaran", fakta_pembayaran),
-            "fakta_review": fact("fakta_review", fakta_review),
-        }
-    )
+    tables = {
+        "dim_waktu": dim("dim_waktu", dim_waktu),
+        "dim_pelanggan": dim("dim_pelanggan", dim_pelanggan),
+        "dim_produk": dim("dim_produk", dim_produk),
+        "dim_seller": dim("dim_seller", dim_seller),
+        "dim_metode_pembayaran": dim("dim_metode_pembayaran", dim_metode_pembayaran),
+        "fakta_penjualan": lambda: fakta_penjualan(lines(), qty_mode),
+        "fakta_pengiriman": lambda: fakta_pengiriman(lines()),
+        "fakta_pembayaran": fact("fakta_pembayaran", fakta_pembayaran),
+        "fakta_review": fact("fakta_review", fakta_review),
+    }
+    return once_per_session(spark, ("mart", folder, qty_mode), lambda: Mart(tables))

@@ -91,8 +91,19 @@ def summarize(cells: DataFrame, pair: Pair) -> DataFrame:
 
 
 def reconcile_all(n: Normalized, m: Mart) -> DataFrame:
-    """One summary row per pair, as a single plan."""
-    reports = [summarize(reconcile(pair, n, m), pair) for pair in PAIRS.values()]
+    """One summary row per pair, as a single plan.
+
+    Pairs that ask the same thing under two names are compared once.
+    """
+    names: dict[tuple, list[str]] = {}
+    for pair in PAIRS.values():
+        names.setdefault((pair.normalized, pair.star), []).append(pair.name)
+    reports = []
+    for same in names.values():
+        pair = PAIRS[same[0]]
+        report = summarize(reconcile(pair, n, m), pair)
+        named = F.explode(F.array(*[F.lit(name) for name in same])).alias("pair")
+        reports.append(report.select(named, *report.columns[1:]))
     return reduce(DataFrame.unionByName, reports)
 
 

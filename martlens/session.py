@@ -3,9 +3,28 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Hashable
+from typing import TypeVar
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import SparkSession
 
+T = TypeVar("T")
+
+_remembered: WeakKeyDictionary[SparkSession, dict[Hashable, object]] = WeakKeyDictionary()
+
+
+def once_per_session(spark: SparkSession, key: Hashable, make: Callable[[], T]) -> T:
+    """What ``make()`` returned the first time this session asked for ``key``.
+
+    Used for opened tables, so that files are listed and their footers read
+    once and not by each query.
+    """
+    known = _remembered.setdefault(spark, {})
+    if key not in known:
+        known[key] = make()
+    return known[key]  # type: ignore[return-value]
+
 
 def local_session(app: str, cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A single-machine session for tests and the bench run."""

@@ -6,6 +6,7 @@ safe at any data size.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,14 +72,21 @@ TIER_BENEFITS: dict[str, dict[str, str]] = {
 }
 
 
+def literal_table(spark: SparkSession, rows: list[tuple], *names: str) -> DataFrame:
+    """Rows of the program as a local relation: no partitions, no tasks to read it."""
+    columns = zip(*rows, strict=True)
+    return spark.createDataFrame(pa.table([list(column) for column in columns], names=list(names)))
+
+
 def state_coords(spark: SparkSession) -> DataFrame:
     """State code, latitude, longitude and name; 27 rows."""
-    return spark.createDataFrame(STATE_COORDS, "state string, lat double, lng double, nama string")
+    return literal_table(spark, STATE_COORDS, "state", "lat", "lng", "nama")
 
 
 def month_names(spark: SparkSession) -> DataFrame:
     """Month number and name; 12 rows."""
-    return spark.createDataFrame(list(enumerate(MONTH_NAMES, 1)), "bulan int, nama_bulan string")
+    names = literal_table(spark, list(enumerate(MONTH_NAMES, 1)), "bulan", "nama_bulan")
+    return names.withColumn("bulan", F.col("bulan").cast("int"))
 
 
 def month_name(month: Column) -> Column:
@@ -94,7 +102,7 @@ def tier_benefits(spark: SparkSession) -> DataFrame:
         for entity, tiers in TIER_BENEFITS.items()
         for tier, benefit in tiers.items()
     ]
-    return spark.createDataFrame(rows, "entity string, tier string, benefit string")
+    return literal_table(spark, rows, "entity", "tier", "benefit")
 
 
 def benefit_of(entity: str, tier: Column) -> Column:

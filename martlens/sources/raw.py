@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from martlens.model import NORMALIZED, Normalized, conform
+from martlens.sources.literals import literal_table
 
 # State by nation key 0-24. 21 is padded, 22 blank, 23 unknown,
 # and 24 has no coordinates.
@@ -80,7 +81,12 @@ def normalized_tables(spark: SparkSession, folder: str) -> Normalized:
             F.col("p_type").alias("product_category_name"),
         ),
         "product_category_translation": lambda: F.broadcast(
-            spark.createDataFrame(CATEGORY_ENGLISH, NORMALIZED["product_category_translation"])
+            literal_table(
+                spark,
+                CATEGORY_ENGLISH,
+                "product_category_name",
+                "product_category_name_english",
+            )
         ),
         "customers": lambda: raw("customer").select(
             _text_id("C", "c_custkey").alias("customer_id"),

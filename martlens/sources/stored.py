@@ -4,14 +4,11 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Sequence
-from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 from martlens.model import NORMALIZED, PERIOD_COLUMNS, STAR, Mart, Normalized, conform
-from martlens.session import shared_folder
-
-_written: WeakKeyDictionary[SparkSession, dict[tuple[str, str], DataFrame]] = WeakKeyDictionary()
+from martlens.session import once_per_session, shared_folder
 
 
 def load_mart(spark: SparkSession, path: str, partitioned: bool = True) -> Mart:
@@ -98,10 +95,9 @@ def written_once(
     ``source`` as it was when first asked for. Without a shared folder the
     plain lazy DataFrame is returned: slower, same rows.
     """
-    tables = _written.setdefault(spark, {})
-    if (source, name) not in tables:
-        tables[source, name] = _write(spark, source, name, derive(), by)
-    return tables[source, name]
+    return once_per_session(
+        spark, ("written", source, name), lambda: _write(spark, source, name, derive(), by)
+    )
 
 
 def _write(

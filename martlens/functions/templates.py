@@ -1,0 +1,27 @@
+"""Text columns from ``{field}`` templates."""
+
+from __future__ import annotations
+
+from collections.abc import Mapping
+from string import Formatter
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def filled(template: str, fields: Mapping[str, Column]) -> Column:
+    """The template with its fields replaced; a NULL field reads ``-``."""
+    parts = [F.lit("")]
+    for text, name, _, _ in Formatter().parse(template):
+        parts.append(F.lit(text))
+        if name is not None:
+            parts.append(F.coalesce(fields[name].cast("string"), F.lit("-")))
+    return F.concat(*parts)
+
+
+def chosen(code: Column, templates: Mapping[str, str], fields: Mapping[str, Column]) -> Column:
+    """The template that belongs to the code, filled; empty for other codes."""
+    text = F.lit("")
+    for value, template in templates.items():
+        text = F.when(code == value, filled(template, fields)).otherwise(text)
+    return text

@@ -1,4 +1,4 @@
-"""Insights: one row of codes and figures about an aggregated result.
+"""Insights: one row of codes, figures and texts about an aggregated result.
 
 Everything here works on a top-k, a calendar series or a few groups. Totals
 stay exact decimals or integers until the last projection, so a threshold is
@@ -23,6 +23,7 @@ from martlens.operators.ranking import (
     top_k,
 )
 from martlens.plans import leaders, series
+from martlens.plans.messages import with_text
 
 # Thresholds of the classifications.
 DOMINANT_METHOD_SHARE = 70
@@ -56,7 +57,7 @@ def insight_revenue(m: Mart, p: Period = ALL) -> DataFrame:
         _first_point("revenue", largest=False).alias("low"),
     )
     n, last = F.col("n_points"), F.col("last")
-    return facts.select(
+    found = facts.select(
         "n_points",
         F.when(n == 0, "none").when(n == 1, "single").otherwise("multi").alias("status"),
         _rising(last - F.col("prev"), "up", "down", "flat").alias("trend"),
@@ -73,6 +74,7 @@ def insight_revenue(m: Mart, p: Period = ALL) -> DataFrame:
         F.col("low.label").alias("min_label"),
         as_double(F.col("low.value")).alias("min_revenue"),
     )
+    return with_text(found, "revenue", p)
 
 
 def _first_point(value: str, largest: bool) -> Column:
@@ -96,7 +98,7 @@ def insight_payment(m: Mart, p: Period = ALL) -> DataFrame:
         .select("*", total.alias("total"), count.alias("n_methods"))
     )
     share = percent_rounded(F.col("top_count"), F.col("total"))
-    return facts.select(
+    found = facts.select(
         "n_methods",
         "total",
         "top_method",
@@ -108,6 +110,7 @@ def insight_payment(m: Mart, p: Period = ALL) -> DataFrame:
         .otherwise("open")
         .alias("status"),
     )
+    return with_text(found, "payment", p)
 
 
 def insight_top_items(m: Mart, p: Period = ALL, by: str = "product") -> DataFrame:
@@ -124,7 +127,7 @@ def insight_top_items(m: Mart, p: Period = ALL, by: str = "product") -> DataFram
     total, top, second = F.col("total_qty"), F.col("top_qty"), F.col("second_qty")
     share = F.when(total > 0, percent_rounded(top, total)).when(total <= 0, F.lit(0))
     gap = F.when(second > 0, percent_rounded(top - second, second))
-    return facts.select(
+    found = facts.select(
         "n_items",
         "total_qty",
         "top_label",
@@ -140,6 +143,7 @@ def insight_top_items(m: Mart, p: Period = ALL, by: str = "product") -> DataFram
         .otherwise("even")
         .alias("status"),
     )
+    return with_text(found, "top_items", p, by)
 
 
 def _concentration(shown: DataFrame, value: str) -> DataFrame:
@@ -179,11 +183,12 @@ def _concentration(shown: DataFrame, value: str) -> DataFrame:
 
 
 def insight_state(m: Mart) -> DataFrame:
-    return _concentration(leaders.top_states(m), "total_customers")
+    return with_text(_concentration(leaders.top_states(m), "total_customers"), "state")
 
 
 def insight_customer(m: Mart, p: Period = ALL) -> DataFrame:
-    return _concentration(leaders.exact_top_customers(m, p), "total_revenue")
+    found = _concentration(leaders.exact_top_customers(m, p), "total_revenue")
+    return with_text(found, "customer", p)
 
 
 def insight_seller(m: Mart, p: Period = ALL, by: str = "qty") -> DataFrame:
@@ -191,7 +196,8 @@ def insight_seller(m: Mart, p: Period = ALL, by: str = "qty") -> DataFrame:
     measure = "total_revenue" if by == "revenue" else "total_qty"
     found = _concentration(leaders.exact_top_sellers(m, p, by), measure)
     advice = F.lit("watch_revenue" if by == "revenue" else "keep_volume")
-    return found.withColumn("action", F.when(F.col("n_shown") > 0, advice))
+    advised = found.withColumn("action", F.when(F.col("n_shown") > 0, advice))
+    return with_text(advised, "seller", p, "revenue" if by == "revenue" else "qty")
 
 
 def _delivery(means: DataFrame) -> DataFrame:
@@ -220,11 +226,11 @@ def _delivery(means: DataFrame) -> DataFrame:
 
 
 def insight_delivery_state(m: Mart, p: Period = ALL) -> DataFrame:
-    return _delivery(series.exact_delivery_by_state(m, p))
+    return with_text(_delivery(series.exact_delivery_by_state(m, p)), "delivery_state", p)
 
 
 def insight_delivery_category(m: Mart, p: Period = ALL) -> DataFrame:
-    return _delivery(series.exact_delivery_by_category(m, p))
+    return with_text(_delivery(series.exact_delivery_by_category(m, p)), "delivery_category", p)
 
 
 def _rated(m: Mart, p: Period, by: str) -> DataFrame:
@@ -245,7 +251,7 @@ def insight_rating_year(m: Mart, p: Period = ALL) -> DataFrame:
     def reaches(level: float) -> Column:
         return total >= F.lit(str(level)).cast("decimal(3,1)") * n
 
-    return facts.select(
+    found = facts.select(
         "n_years",
         (as_double(total) / F.when(n > 0, n)).alias("mean_rating"),
         F.col("best.label").alias("best_label"),
@@ -262,6 +268,7 @@ def insight_rating_year(m: Mart, p: Period = ALL) -> DataFrame:
         .otherwise("improve")
         .alias("action"),
     )
+    return with_text(found, "rating_year", p)
 
 
 def insight_rating_month(m: Mart, p: Period = ALL) -> DataFrame:
@@ -274,7 +281,7 @@ def insight_rating_month(m: Mart, p: Period = ALL) -> DataFrame:
         _first_point("rating", largest=False).alias("worst"),
     )
     change = F.col("last.rating") - F.col("first.rating")
-    return facts.select(
+    found = facts.select(
         "n_months",
         as_double(F.col("first.rating")).alias("first_rating"),
         as_double(F.col("last.rating")).alias("last_rating"),
@@ -286,3 +293,4 @@ def insight_rating_month(m: Mart, p: Period = ALL) -> DataFrame:
         F.coalesce(_rising(change, "up", "down", "flat"), F.lit("none")).alias("status"),
         F.when(change < 0, "review").when(change >= 0, "maintain").alias("action"),
     )
+    return with_text(found, "rating_month", p)

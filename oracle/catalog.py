@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from oracle.tables import with_tables
+from oracle.texts import with_text
 
 PERIODS: dict[str, tuple[int | None, int | None]] = {
     "all": (None, None),
@@ -433,26 +434,35 @@ def _insight_rating_month(period: str) -> str:
 
 
 def _insights() -> dict[str, str]:
-    sql = {f"insight_revenue_{p}": _insight_revenue(p) for p in PERIODS}
-    sql["insight_state"] = _insight_concentration(_TOP_STATES, "total_customers")
+    sql = {
+        f"insight_revenue_{p}": with_text(_insight_revenue(p), "revenue", p) for p in PERIODS
+    }
+    sql["insight_state"] = with_text(
+        _insight_concentration(_TOP_STATES, "total_customers"), "state"
+    )
     for p in ("all", "y", "ym"):
         customers = _ranked(_customers(p), "total_revenue", 10)
         by_qty = _ranked(_sellers(p), "total_qty", 10, "LAST")
         by_revenue = _ranked(_sellers(p), "total_revenue", 10, "LAST")
-        sql |= {
-            f"insight_payment_{p}": _insight_payment(p),
-            f"insight_top_product_{p}": _insight_items(p, "produk_id"),
-            f"insight_top_category_{p}": _insight_items(p, "kategori_inggris"),
-            f"insight_delivery_state_{p}": _insight_delivery(_delivery_state(p), "state"),
-            f"insight_delivery_category_{p}": _insight_delivery(_delivery_category(p), "kategori"),
-            f"insight_rating_year_{p}": _insight_rating_year(p),
-            f"insight_rating_month_{p}": _insight_rating_month(p),
-            f"insight_customer_{p}": _insight_concentration(customers, "total_revenue"),
-            f"insight_seller_qty_{p}": _insight_concentration(by_qty, "total_qty", "keep_volume"),
-            f"insight_seller_revenue_{p}": _insight_concentration(
-                by_revenue, "total_revenue", "watch_revenue"
-            ),
-        }
+        found = {
+            "payment": ("payment", "", _insight_payment(p)),
+            "top_product": ("top_items", "product", _insight_items(p, "produk_id")),
+            "top_category": ("top_items", "category", _insight_items(p, "kategori_inggris")),
+            "delivery_state": (
+                "delivery_state", "", _insight_delivery(_delivery_state(p), "state")),
+            "delivery_category": (
+                "delivery_category", "", _insight_delivery(_delivery_category(p), "kategori")),
+            "rating_year": ("rating_year", "", _insight_rating_year(p)),
+            "rating_month": ("rating_month", "", _insight_rating_month(p)),
+            "customer": ("customer", "", _insight_concentration(customers, "total_revenue")),
+            "seller_qty": (
+                "seller", "qty", _insight_concentration(by_qty, "total_qty", "keep_volume")),
+            "seller_revenue": (
+                "seller", "revenue",
+                _insight_concentration(by_revenue, "total_revenue", "watch_revenue")),
+        }
+        for name, (kind, by, text) in found.items():
+            sql[f"insight_{name}_{p}"] = with_text(text, kind, p, by)
     return sql
 
 

@@ -1,0 +1,96 @@
+"""The text columns of insights in SQL.
+
+Takes the sentences from the library, so that wording is written once; choosing
+and filling them is done here again, in SQL.
+"""
+
+from __future__ import annotations
+
+from string import Formatter
+
+from martlens.plans.messages import SENTENCES
+
+_POINTS = {"all": "periode", "y": "bulan", "m": "tahun", "ym": "hari"}
+_PERIODS = {
+    "all": "semua periode",
+    "y": "tahun 1997",
+    "m": "bulan Maret",
+    "ym": "Maret 1997",
+}
+
+
+def _whole(value: str) -> str:
+    return f"replace(format('{{:,}}', CAST({value} AS BIGINT)), ',', '.')"
+
+
+def _comma(value: str, places: int) -> str:
+    unit = 10**places
+    scaled = f"CAST(round({value} * {unit}) AS BIGINT)"
+    cents = f"lpad(CAST({scaled} % {unit} AS VARCHAR), {places}, '0')"
+    return f"{_whole(f'{scaled} // {unit}')} || ',' || {cents}"
+
+
+def _money(value: str) -> str:
+    return f"'R$ ' || {_comma(value, 2)}"
+
+
+def _point(value: str, places: int) -> str:
+    return f"printf('%.{places}f', {value})"
+
+
+_READINGS = {
+    "revenue": {f"{end}_money": _money(f"{end}_revenue") for end in ("last", "max", "min")},
+    "payment": {"top_count": _whole("top_count"), "top_share": _comma("top_share", 1)},
+    "top_items": {
+        "top_qty": _whole("top_qty"),
+        "top_share": _comma("top_share", 1),
+        "gap": _comma("gap", 1),
+    },
+    "state": {"top_value": _whole("top_value"), "gap": _point("gap", 1)},
+    "delivery_state": {"max_days": _comma("max_days", 2), "min_days": _comma("min_days", 2)},
+    "delivery_category": {"max_days": _comma("max_days", 2), "min_days": _comma("min_days", 2)},
+    "rating_year": {
+        name: _point(name, 2) for name in ("best_rating", "worst_rating", "mean_rating")
+    },
+    "rating_month": {name: _point(name, 2) for name in ("best_rating", "worst_rating")},
+    "customer": {"top_value": _money("top_value"), "gap": _point("gap", 1)},
+    "seller_qty": {"top_value": _whole("top_value"), "gap": _point("gap", 1)},
+    "seller_revenue": {"top_value": _money("top_value"), "gap": _point("gap", 1)},
+}
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _filled(template: str, fields: dict[str, str]) -> str:
+    parts = ["''"]
+    for text, name, _, _ in Formatter().parse(template):
+        parts.append(_quoted(text))
+        if name is not None:
+            parts.append(f"coalesce(CAST({fields.get(name, name)} AS VARCHAR), '-')")
+    return " || ".join(parts)
+
+
+def with_text(sql: str, kind: str, period: str = "all", by: str = "") -> str:
+    """Wrap the SQL of an insight so that it also returns its texts."""
+    fields = {
+        "period": _quoted(_PERIODS[period]),
+        "point": _quoted(_POINTS[period]),
+        "kind": "'kategori'" if by == "category" else "'produk'",
+        "metric": "'revenue'" if by == "revenue" else "'jumlah terjual'",
+    } | _READINGS.get(f"{kind}_{by}", _READINGS.get(kind, {}))
+    texts = []
+    for column in ("now_text", "next_text", "action_text"):
+        cases = [
+            f"CASE {sentence.code} "
+            + " ".join(
+                f"WHEN {_quoted(value)} THEN {_filled(template, fields)}"
+                for value, template in sentence.by_value.items()
+            )
+            + " ELSE '' END"
+            for sentence in SENTENCES[kind]
+            if sentence.column == column
+        ]
+        texts.append(f"{' || '.join(cases)} AS {column}")
+    return f"SELECT *, {', '.join(texts)} FROM ({sql})"

@@ -8,13 +8,23 @@ from pyspark.sql import DataFrame
 
 Loader = Callable[[], DataFrame]
 
+# A table of at most this many rows may be broadcast: with a key and a short
+# label per row that is some tens of megabytes per executor.
+BROADCAST_ROWS = 1_000_000
+
 
 class _Tables:
-    """Tables by attribute name, each resolved once, on first use."""
+    """Tables by attribute name, each resolved once, on first use.
+
+    ``stored`` says that the tables are files or catalog tables, whose rows
+    can be counted from metadata.
+    """
 
-    def __init__(self, loaders: Mapping[str, Loader | DataFrame]):
+    def __init__(self, loaders: Mapping[str, Loader | DataFrame], stored: bool = True):
         self._loaders = dict(loaders)
+        self._stored = stored
         self._resolved: dict[str, DataFrame] = {}
+        self._rows: dict[str, int] = {}
 
     def names(self) -> list[str]:
         return sorted(self._loaders)
@@ -27,6 +37,17 @@ class _Tables:
             self._resolved[name] = source if isinstance(source, DataFrame) else source()
         return self._resolved[name]
 
+    def is_small(self, name: str) -> bool:
+        """Whether a table was counted and may be broadcast.
+
+        A table that would have to be computed to be counted is not small.
+        """
+        if not self._stored:
+            return False
+        if name not in self._rows:
+            self._rows[name] = self.table(name).count()
+        return self._rows[name] <= BROADCAST_ROWS
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
@@ -37,7 +58,7 @@ class _Tables:
 
     def replace(self, **tables: Loader | DataFrame):
         """A copy in which the given tables take the place of the old ones."""
-        return type(self)({**self._loaders, **self._resolved, **tables})
+        return type(self)({**self._loaders, **self._resolved, **tables}, self._stored)
 
 
 class Normalized(_Tables):

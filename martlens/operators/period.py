@@ -4,22 +4,26 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+_LARGEST = 2**63 - 1
 _LEADING_NUMBER = re.compile(r"\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)")
 
 
 def _whole_number(raw: int | str | None) -> int | None:
-    """The leading number of ``raw`` cut to an integer; zero means no filter."""
+    """The leading number of ``raw`` cut to an integer; zero means no filter.
+
+    Numbers beyond 64 bits stop at the bound, where they match nothing.
+    """
     if raw is None:
         return None
-    if isinstance(raw, str):
-        found = _LEADING_NUMBER.match(raw)
-        raw = int(Decimal(found.group(1))) if found else 0
-    return int(raw) or None
+    found = _LEADING_NUMBER.match(str(raw))
+    number = float(found.group(1)) if found else 0.0
+    if abs(number) >= _LARGEST:
+        return _LARGEST if number > 0 else -_LARGEST
+    return int(number) or None
 
 
 @dataclass(frozen=True)

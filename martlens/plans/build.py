@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from martlens.functions import elapsed_days
 from martlens.model import PERIOD_COLUMNS, STAR, Mart, Normalized, conform
 from martlens.operators.joins import translate_category
-from martlens.session import once_per_session
+from martlens.session import once_per_session, shared_folder
 from martlens.sources.raw import normalized_tables
 from martlens.sources.stored import written_once
 
@@ -175,7 +175,8 @@ def build_mart(
             "fakta_pengiriman": lambda: fakta_pengiriman(lines),
             "fakta_pembayaran": lambda: fakta_pembayaran(n),
             "fakta_review": lambda: fakta_review(n),
-        }
+        },
+        stored=False,
     )
 
 
@@ -217,4 +218,5 @@ def open_mart(spark: SparkSession, folder: str, qty_mode: str = "quantity") -> M
         "fakta_pembayaran": fact("fakta_pembayaran", fakta_pembayaran),
         "fakta_review": fact("fakta_review", fakta_review),
     }
-    return once_per_session(spark, ("mart", folder, qty_mode), lambda: Mart(tables))
+    stored = shared_folder(spark) is not None
+    return once_per_session(spark, ("mart", folder, qty_mode), lambda: Mart(tables, stored))

@@ -20,13 +20,21 @@ def top_items(m: Mart, p: Period = ALL, by: str = "product", k: int = 10) -> Dat
     """Best sellers by quantity; any ``by`` other than category means product."""
     label = F.col("kategori_inggris") if by == "category" else F.col("produk_id")
     sold = in_period(m.fakta_penjualan, m.dim_waktu, p)
-    return top_k(totals_by_label(sold, m.dim_produk, "produk_key", label, **_QTY), "total_qty", k)
+    small = m.is_small("dim_produk")
+    totals = totals_by_label(sold, m.dim_produk, "produk_key", label, small=small, **_QTY)
+    return top_k(totals, "total_qty", k)
 
 
 def seller_totals(m: Mart, p: Period = ALL) -> DataFrame:
     sold = in_period(m.fakta_penjualan, m.dim_waktu, p)
     return totals_by_label(
-        sold, m.dim_seller, "seller_key", F.col("seller_id"), **_QTY, **_REVENUE
+        sold,
+        m.dim_seller,
+        "seller_key",
+        F.col("seller_id"),
+        small=m.is_small("dim_seller"),
+        **_QTY,
+        **_REVENUE,
     )
 
 
@@ -64,7 +72,14 @@ def customer_totals(m: Mart, p: Period = ALL) -> DataFrame:
     sold = in_period(m.fakta_penjualan, m.dim_waktu, p)
     label = F.coalesce("pelanggan_id", F.col("pelanggan_key").cast("string"))
     return totals_by_label(
-        sold, m.dim_pelanggan, "pelanggan_key", label, how="left", **_QTY, **_REVENUE
+        sold,
+        m.dim_pelanggan,
+        "pelanggan_key",
+        label,
+        how="left",
+        small=m.is_small("dim_pelanggan"),
+        **_QTY,
+        **_REVENUE,
     )
 
 

@@ -72,6 +72,7 @@ def _sales_by_category_n(n: Normalized) -> DataFrame:
         _translated(n),
         "product_id",
         F.col("product_category_name_english"),
+        small=n.is_small("products"),
         total_qty=("count", "order_item_id"),
         total_revenue=("sum", "price"),
     ).withColumnRenamed("label", "kategori")
@@ -84,6 +85,7 @@ def _sales_by_category_s(m: Mart) -> DataFrame:
         m.dim_produk,
         "produk_key",
         F.col("kategori_inggris"),
+        small=m.is_small("dim_produk"),
         total_qty=("sum", "jumlah"),
         total_revenue=("sum", "total_harga"),
     ).withColumnRenamed("label", "kategori")
@@ -125,18 +127,20 @@ def _delivery_by_category_n(n: Normalized) -> DataFrame:
         _translated(n),
         "product_id",
         F.col("product_category_name_english"),
+        small=n.is_small("products"),
         days=("sum", "days"),
         timed=("count", "days"),
     )
     return _slowest_first(sums, "kategori")
 
 
-def _delivery_s(m: Mart, dim: DataFrame, key: str, label: str, name: str) -> DataFrame:
+def _delivery_s(m: Mart, dim: str, key: str, label: str, name: str) -> DataFrame:
     sums = totals_by_label(
         m.fakta_pengiriman,
-        dim,
+        m.table(dim),
         key,
         F.col(label),
+        small=m.is_small(dim),
         days=("sum", "durasi_pengiriman"),
         timed=("count", "durasi_pengiriman"),
     )
@@ -145,7 +149,7 @@ def _delivery_s(m: Mart, dim: DataFrame, key: str, label: str, name: str) -> Dat
 
 def _delivery_by_category_s(m: Mart) -> DataFrame:
     # The star side names the native category, the normalized side the English.
-    return _delivery_s(m, m.dim_produk, "produk_key", "kategori", "kategori")
+    return _delivery_s(m, "dim_produk", "produk_key", "kategori", "kategori")
 
 
 def _delivery_by_state_n(n: Normalized) -> DataFrame:
@@ -155,6 +159,7 @@ def _delivery_by_state_n(n: Normalized) -> DataFrame:
         n.customers,
         "customer_id",
         F.col("customer_state"),
+        small=n.is_small("customers"),
         days=("sum", "days"),
         timed=("count", "days"),
     )
@@ -162,7 +167,7 @@ def _delivery_by_state_n(n: Normalized) -> DataFrame:
 
 
 def _delivery_by_state_s(m: Mart) -> DataFrame:
-    return _delivery_s(m, m.dim_pelanggan, "pelanggan_key", "state", "state")
+    return _delivery_s(m, "dim_pelanggan", "pelanggan_key", "state", "state")
 
 
 # Single figures.
@@ -205,6 +210,7 @@ def _payments_s(m: Mart) -> DataFrame:
         m.dim_metode_pembayaran,
         "metode_key",
         F.col("metode_pembayaran"),
+        small=m.is_small("dim_metode_pembayaran"),
         jumlah_penggunaan=("count", "*"),
     ).withColumnRenamed("label", "metode_pembayaran")
     return counted.orderBy(*highest_first("jumlah_penggunaan", "metode_pembayaran"))
@@ -232,6 +238,7 @@ def _top_products_s(m: Mart) -> DataFrame:
         m.dim_produk,
         "produk_key",
         F.col("produk_id"),
+        small=m.is_small("dim_produk"),
         jumlah_terjual=("sum", "jumlah"),
     )
     return _top(sums, "product_id", "jumlah_terjual")
@@ -248,6 +255,7 @@ def _top_sellers_s(m: Mart) -> DataFrame:
         m.dim_seller,
         "seller_key",
         F.col("seller_id"),
+        small=m.is_small("dim_seller"),
         total_revenue=("sum", "total_harga"),
     )
     return _money(_top(sums, "seller_id", "total_revenue"))
@@ -270,6 +278,7 @@ def _top_customers_s(m: Mart) -> DataFrame:
         m.dim_pelanggan,
         "pelanggan_key",
         F.col("pelanggan_id"),
+        small=m.is_small("dim_pelanggan"),
         total_revenue=("sum", "total_harga"),
     )
     return _money(_top(sums, "customer_id", "total_revenue"))

@@ -59,6 +59,7 @@ def payment_methods(m: Mart, p: Period = ALL) -> DataFrame:
         m.dim_metode_pembayaran,
         "metode_key",
         F.col("metode_pembayaran"),
+        small=m.is_small("dim_metode_pembayaran"),
         jumlah=("count", "*"),
     )
     return counted.orderBy(*highest_first("jumlah")).withColumnRenamed(
@@ -66,15 +67,14 @@ def payment_methods(m: Mart, p: Period = ALL) -> DataFrame:
     )
 
 
-def _delivery_means(
-    m: Mart, p: Period, dim: DataFrame, key: str, label: Column
-) -> DataFrame:
+def _delivery_means(m: Mart, p: Period, dim: str, key: str, label: str) -> DataFrame:
     delivered = in_period(m.fakta_pengiriman, m.dim_waktu, p)
     sums = totals_by_label(
         delivered,
-        dim,
+        m.table(dim),
         key,
-        label,
+        F.col(label),
+        small=m.is_small(dim),
         days=("sum", "durasi_pengiriman"),
         timed=("count", "durasi_pengiriman"),
         shipments=("count", "*"),
@@ -87,12 +87,12 @@ def _delivery_means(
 
 def exact_delivery_by_state(m: Mart, p: Period = ALL) -> DataFrame:
     """Slowest state first; means as exact decimals."""
-    return _delivery_means(m, p, m.dim_pelanggan, "pelanggan_key", F.col("state"))
+    return _delivery_means(m, p, "dim_pelanggan", "pelanggan_key", "state")
 
 
 def exact_delivery_by_category(m: Mart, p: Period = ALL) -> DataFrame:
     """Slowest English category first; means as exact decimals."""
-    return _delivery_means(m, p, m.dim_produk, "produk_key", F.col("kategori_inggris"))
+    return _delivery_means(m, p, "dim_produk", "produk_key", "kategori_inggris")
 
 
 def delivery_by_state(m: Mart, p: Period = ALL) -> DataFrame:

@@ -49,7 +49,9 @@ def mart_from_catalog(spark: SparkSession, prefix: str = "") -> Mart:
 
     def find(name: str) -> DataFrame:
         names = [prefix + alias for alias in aliases.get(name, (name,))]
-        return conform(resolve_table(spark, *names), STAR[name])
+        table = resolve_table(spark, *names)
+        partitioned = name.startswith("fakta_") and {"tahun", "bulan"} <= set(table.columns)
+        return conform(table, f"{STAR[name]}, {PERIOD_COLUMNS}" if partitioned else STAR[name])
 
     return Mart({name: (lambda name=name: find(name)) for name in STAR})
 

@@ -280,7 +280,7 @@ def _boards() -> dict[str, str]:
                               ("seller", "dim_seller", "seller")]:
         sql[f"state_distribution_{entity}"] = _placed(dim)
         sql[f"map_scale_{entity}"] = _scaled(dim)
-        sql[f"state_json_{entity}"] = _document(dim, kind)
+        sql[f"state_distribution_json_{entity}"] = _document(dim, kind)
     sql["chart_json_top_products"] = f"""
         SELECT CAST(to_json({{'label': list(label ORDER BY pos),
                              'total_qty': list(total_qty ORDER BY pos)}}) AS VARCHAR) AS document

@@ -11,6 +11,7 @@ from martlens.plans import kpis, series
         (None, None), ("", None), ("0", None), (0, None), ("abc", None), ("1997", 1997),
         (1997, 1997), ("1997x", 1997), ("  12", 12), ("3.9", 3), ("1e3", 1000), ("-5", -5),
         ("x1997", None), (".5", None),
+        ("9" * 5000, 2**63 - 1), ("1e400", 2**63 - 1), ("-1e400", 1 - 2**63),
     ],
 )
 def test_parameters_are_read_as_leading_numbers(raw, parsed):
@@ -67,6 +68,7 @@ def test_month_does_not_narrow_revenue_on_the_sheet(mart):
         (Period(2024, 1), [(1, "5 Jan", 15.0, 3)]),
         (Period(2024, 13), []),
         (Period(1990), []),
+        (Period.of("1e400"), []),
     ],
 )
 def test_sales_series(mart, period, expected):

@@ -4,9 +4,10 @@ from decimal import Decimal
 
 import pytest
 from conftest import plan_of
+from oracle_check import connect, difference
 
 import __spark_entry__ as contract
-from martlens.model import NORMALIZED
+from martlens.model import NORMALIZED, tables
 from martlens.plans import leaders
 from martlens.plans.build import open_mart, open_normalized, order_lines
 from martlens.plans.pairs import PAIRS
@@ -46,7 +47,7 @@ def test_dates_are_broadcast_after_a_size_check(spark, sf0001):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         plan = executed(leaders.top_items(m))
-        assert "BroadcastHashJoin" not in plan and "SortMergeJoin [waktu_id" in plan
+        assert "BroadcastHashJoin [waktu_id" not in plan and "SortMergeJoin [waktu_id" in plan
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
@@ -58,12 +59,36 @@ def test_only_needed_columns_and_partitions_are_read(spark, sf0001):
     assert "(tahun" in scan.split("PartitionFilters: [")[1].split("]")[0]
 
 
-def test_facts_are_summed_per_key_before_the_dimension(spark, sf0001):
-    plan = executed(leaders.top_items(open_mart(spark, sf0001), by="category"))
-    above, below = plan.split("BroadcastHashJoin [produk_key", 1)
+def test_a_small_dimension_is_broadcast_to_the_fact(spark, sf0001):
+    plan = initial(leaders.top_items(open_mart(spark, sf0001), by="category"))
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert "keys=[produk_key" not in plan
+
+
+@pytest.fixture
+def nothing_is_small(monkeypatch):
+    monkeypatch.setattr(tables, "BROADCAST_ROWS", 0)
+
+
+def test_a_large_dimension_meets_sums_per_key(spark, sf0001, nothing_is_small):
+    plan = initial(leaders.top_items(open_mart(spark, sf0001), by="category"))
+    above, below = plan.split("Join [produk_key", 1)
     assert "keys=[produk_key" in below and "keys=[produk_key" not in above
 
 
+@pytest.mark.parametrize(
+    "name",
+    ["top_products_y", "top_categories_all", "top_customers_all", "segment_sellers_ym",
+     "payment_methods_y", "delivery_by_state_all", "delivery_by_category_ym",
+     "q02_n", "q02_s", "q04_n", "q04_s", "q11_s", "q12_s", "q13_s", "q14_s", "q16_n", "q16_s"],
+)
+def test_large_dimensions_give_the_same_rows(spark, sf001, nothing_is_small, name):
+    difference_found = difference(
+        QUERIES[name](spark, sf001), connect(sf001), contract.oracle_sql()[name]
+    )
+    assert difference_found is None
+
+
 def test_unused_delivery_date_costs_no_join(spark, sf0001):
     orders = normalized_tables(spark, sf0001).orders.select("order_id", "customer_id")
     assert "Join" not in initial(orders)

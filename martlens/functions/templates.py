@@ -9,19 +9,28 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def filled(template: str, fields: Mapping[str, Column]) -> Column:
-    """The template with its fields replaced; a NULL field reads ``-``."""
-    parts = [F.lit("")]
+def field_names(template: str) -> list[str]:
+    return [name for _, name, _, _ in Formatter().parse(template) if name is not None]
+
+
+def readable(value: Column) -> Column:
+    """The value as text; NULL reads ``-``."""
+    return F.coalesce(value.cast("string"), F.lit("-"))
+
+
+def filled(template: str, texts: Mapping[str, Column]) -> Column:
+    """The template with its fields replaced by text columns."""
+    pattern = ""
     for text, name, _, _ in Formatter().parse(template):
-        parts.append(F.lit(text))
-        if name is not None:
-            parts.append(F.coalesce(fields[name].cast("string"), F.lit("-")))
-    return F.concat(*parts)
+        pattern += text.replace("%", "%%") + ("" if name is None else "%s")
+    return F.format_string(pattern, *[texts[name] for name in field_names(template)])
 
 
-def chosen(code: Column, templates: Mapping[str, str], fields: Mapping[str, Column]) -> Column:
+def chosen(code: Column, templates: Mapping[str, str], texts: Mapping[str, Column]) -> Column:
     """The template that belongs to the code, filled; empty for other codes."""
-    text = F.lit("")
-    for value, template in templates.items():
-        text = F.when(code == value, filled(template, fields)).otherwise(text)
-    return text
+    cases = None
+    for template in dict.fromkeys(templates.values()):
+        values = [value for value, text in templates.items() if text == template]
+        test, text = code.isin(*values), filled(template, texts)
+        cases = F.when(test, text) if cases is None else cases.when(test, text)
+    return F.lit("") if cases is None else cases.otherwise("")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from martlens.functions import number_text
-from martlens.functions.templates import chosen
+from martlens.functions.templates import chosen, field_names, readable
 from martlens.operators.period import ALL, Period
 from martlens.sources.literals import MONTH_NAMES
 
@@ -436,20 +436,28 @@ def with_text(found: DataFrame, kind: str, p: Period = ALL, by: str = "") -> Dat
 
     ``by`` is the dimension of the best sellers or the metric of the sellers.
     """
-    readings = READINGS.get(f"{kind}_{by}", READINGS.get(kind, {}))
-    fields = {name: readings.get(name, lambda c: c)(F.col(name)) for name in found.columns}
-    fields |= {
-        "period": F.lit(period_name(p)),
-        "point": F.lit(POINT_NAMES[p.grain]),
-        "kind": F.lit("kategori" if by == "category" else "produk"),
-        "metric": F.lit("revenue" if by == "revenue" else "jumlah terjual"),
+    shown = {
+        "period": lambda: F.lit(period_name(p)),
+        "point": lambda: F.lit(POINT_NAMES[p.grain]),
+        "kind": lambda: F.lit("kategori" if by == "category" else "produk"),
+        "metric": lambda: F.lit("revenue" if by == "revenue" else "jumlah terjual"),
     }
+    for name, reading in READINGS.get(f"{kind}_{by}", READINGS.get(kind, {})).items():
+        shown[name] = lambda name=name, reading=reading: reading(F.col(name))
     if kind == "revenue":
-        fields |= {f"{end}_money": money(F.col(f"{end}_revenue")) for end in ("last", "max", "min")}
+        for end in ("last", "max", "min"):
+            shown[f"{end}_money"] = lambda end=end: money(F.col(f"{end}_revenue"))
+    templates = [text for s in SENTENCES[kind] for text in s.by_value.values()]
+    used = {name for template in templates for name in field_names(template)}
+    fields = {
+        name: readable(shown[name]() if name in shown else F.col(name)) for name in sorted(used)
+    }
     texts = {}
     for column in (NOW, NEXT, ACTION):
-        sentences = [s for s in SENTENCES[kind] if s.column == column]
-        texts[column] = F.concat(
-            *[chosen(F.col(s.code), s.by_value, fields) for s in sentences], F.lit("")
-        )
+        parts = [
+            chosen(F.col(s.code), s.by_value, fields)
+            for s in SENTENCES[kind]
+            if s.column == column
+        ]
+        texts[column] = F.concat(*parts) if len(parts) > 1 else parts[0]
     return found.withColumns(texts)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from martlens import functions as fx
-from martlens.functions.templates import chosen, filled
+from martlens.functions.templates import chosen, filled, readable
 from martlens.sources.literals import (
     benefit_of,
     month_name,
@@ -91,10 +91,12 @@ def test_ratio_class(spark, ratio, name):
 
 
 def test_templates(spark):
-    fields = {"x": F.lit(3), "gone": F.lit(None).cast("string")}
+    fields = {"x": readable(F.lit(3)), "gone": readable(F.lit(None).cast("string"))}
     assert value(spark, filled("{x} of {gone}, 5%", fields)) == "3 of -, 5%"
     assert value(spark, chosen(F.lit("b"), {"a": "A", "b": "B{x}"}, fields)) == "B3"
+    assert value(spark, chosen(F.lit("b"), {"a": "{x}", "b": "{x}"}, fields)) == "3"
     assert value(spark, chosen(F.lit(None).cast("string"), {"a": "A"}, fields)) == ""
+    assert value(spark, chosen(F.lit("a"), {}, fields)) == ""
 
 
 def test_literals(spark):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable, Hashable
+from threading import RLock
 from typing import TypeVar
 from weakref import WeakKeyDictionary
 
@@ -11,6 +12,7 @@ from pyspark.sql import SparkSession
 
 T = TypeVar("T")
 
+_building = RLock()
 _remembered: WeakKeyDictionary[SparkSession, dict[Hashable, object]] = WeakKeyDictionary()
 
 
@@ -20,10 +22,11 @@ def once_per_session(spark: SparkSession, key: Hashable, make: Callable[[], T])
     Used for opened tables, so that files are listed and their footers read
     once and not by each query.
     """
-    known = _remembered.setdefault(spark, {})
-    if key not in known:
-        known[key] = make()
-    return known[key]  # type: ignore[return-value]
+    with _building:
+        known = _remembered.setdefault(spark, {})
+        if key not in known:
+            known[key] = make()
+        return known[key]  # type: ignore[return-value]
 
 
 def local_session(app: str, cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:

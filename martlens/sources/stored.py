@@ -1,9 +1,9 @@
-"""Tables kept as parquet: loading, saving, and one build per application."""
+"""Tables kept as parquet: loading, saving, and one build per session."""
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Sequence
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -90,25 +90,27 @@ def written_once(
     derive: Callable[[], DataFrame],
     by: Sequence[str] = (),
 ) -> DataFrame:
-    """``derive()`` as a table written once per application and read back.
+    """``derive()`` as a table written once per session and read back.
 
     Reading it back gives the optimizer the true file sizes, and a lost
     executor costs a re-read rather than a re-run of the build. The table shows
     ``source`` as it was when first asked for. Without a shared folder the
-    plain lazy DataFrame is returned: slower, same rows.
+    plain lazy DataFrame is returned: slower, same rows. The folder
+    ``martlens-<application id>`` may go when the application has ended;
+    ``save_mart`` is for marts that stay.
     """
     return once_per_session(
-        spark, ("written", source, name), lambda: _write(spark, source, name, derive(), by)
+        spark, ("written", source, name), lambda: _write(spark, name, derive(), by)
     )
 
 
-def _write(
-    spark: SparkSession, source: str, name: str, df: DataFrame, by: Sequence[str]
-) -> DataFrame:
+def _write(spark: SparkSession, name: str, df: DataFrame, by: Sequence[str]) -> DataFrame:
     folder = shared_folder(spark)
     if folder is None:
         return df
+    # A path of its own for each write: sessions of one application never
+    # overwrite what another of them is reading.
     application = spark.sparkContext.applicationId
-    path = f"{folder}/martlens-{application}/{zlib.crc32(source.encode()):08x}/{name}"
+    path = f"{folder}/martlens-{application}/{name}-{uuid4().hex}"
     write_partitioned(df, path, by)
     return spark.read.schema(df.schema).parquet(path)

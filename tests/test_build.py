@@ -163,6 +163,13 @@ def test_tables_are_written_once(spark, sf0001):
     assert "martlens-" in first.inputFiles()[0]
 
 
+def test_sessions_of_one_application_do_not_share_paths(spark, sf0001):
+    other = spark.newSession()
+    here, there = open_mart(spark, sf0001).dim_seller, open_mart(other, sf0001).dim_seller
+    assert not set(here.inputFiles()) & set(there.inputFiles())
+    assert here.count() == there.count()
+
+
 def test_missing_table_is_named():
     with pytest.raises(AttributeError, match="dim_seller"):
         _ = Mart({}).dim_seller

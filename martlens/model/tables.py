@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 Loader = Callable[[], DataFrame]
 
-# A table of at most this many rows may be broadcast: with a key and a short
-# label per row that is some tens of megabytes per executor.
+# A table may be broadcast up to this many rows and bytes of text.
 BROADCAST_ROWS = 1_000_000
+BROADCAST_TEXT_BYTES = 64 * 1024 * 1024
 
 
 class _Tables:
@@ -24,7 +25,7 @@ class _Tables:
         self._loaders = dict(loaders)
         self._stored = stored
         self._resolved: dict[str, DataFrame] = {}
-        self._rows: dict[str, int] = {}
+        self._small: dict[str, bool] = {}
 
     def names(self) -> list[str]:
         return sorted(self._loaders)
@@ -38,15 +39,17 @@ class _Tables:
         return self._resolved[name]
 
     def is_small(self, name: str) -> bool:
-        """Whether a table was counted and may be broadcast.
+        """Whether a table was measured and may be broadcast.
 
-        A table that would have to be computed to be counted is not small.
+        Rows are counted from metadata; only a table of few rows is then read
+        for the size of its text. A table that would have to be computed to be
+        measured is not small.
         """
         if not self._stored:
             return False
-        if name not in self._rows:
-            self._rows[name] = self.table(name).count()
-        return self._rows[name] <= BROADCAST_ROWS
+        if name not in self._small:
+            self._small[name] = _may_be_broadcast(self.table(name))
+        return self._small[name]
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
@@ -61,6 +64,16 @@ class _Tables:
         return type(self)({**self._loaders, **self._resolved, **tables}, self._stored)
 
 
+def _may_be_broadcast(df: DataFrame) -> bool:
+    if df.count() > BROADCAST_ROWS:
+        return False
+    texts = [F.octet_length(column) for column, kind in df.dtypes if kind == "string"]
+    if not texts:
+        return True
+    row_bytes = sum((F.coalesce(text, F.lit(0)) for text in texts), F.lit(0).cast("long"))
+    return (df.agg(F.sum(row_bytes)).first()[0] or 0) <= BROADCAST_TEXT_BYTES
+
+
 class Normalized(_Tables):
     """Orders, items, products, customers and their companions."""
 

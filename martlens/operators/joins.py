@@ -1,6 +1,6 @@
 """Joins between facts and dimensions.
 
-A dimension that was counted and is small is broadcast, and the fact is summed
+A dimension that was measured and is small is broadcast, and the fact is summed
 per label in place: one shuffle of a few labels. Any other dimension is met by
 a fact already summed per foreign key, so that a product holding a third of
 all sales is one row per map task when it is shuffled and one row when joined.
@@ -37,7 +37,7 @@ def totals_by_label(
 
     ``label`` may use any column of ``dim`` and the key. NULL labels form a
     group of their own. With ``how='left'`` facts without a dimension row stay.
-    ``small`` says that ``dim`` was counted and may be broadcast.
+    ``small`` says that ``dim`` was measured and may be broadcast.
     """
     label = label.alias("label")
     if small:

@@ -7,7 +7,7 @@ from conftest import plan_of
 from oracle_check import connect, difference
 
 import __spark_entry__ as contract
-from martlens.model import NORMALIZED, tables
+from martlens.model import NORMALIZED, STAR, tables
 from martlens.plans import leaders
 from martlens.plans.build import open_mart, open_normalized, order_lines
 from martlens.plans.pairs import PAIRS
@@ -67,7 +67,21 @@ def test_a_small_dimension_is_broadcast_to_the_fact(spark, sf0001):
 
 @pytest.fixture
 def nothing_is_small(monkeypatch):
-    monkeypatch.setattr(tables, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(tables._Tables, "is_small", lambda self, name: False)
+
+
+@pytest.mark.parametrize(
+    ("limit", "value", "small"),
+    [
+        ("BROADCAST_ROWS", 3, True), ("BROADCAST_ROWS", 2, False),
+        ("BROADCAST_TEXT_BYTES", 7, True), ("BROADCAST_TEXT_BYTES", 6, False),
+    ],
+)
+def test_tables_are_measured_before_they_are_broadcast(spark, monkeypatch, limit, value, small):
+    monkeypatch.setattr(tables, limit, value)
+    dim = spark.createDataFrame([(1, "S1", "é"), (2, "S2", None), (3, None, "R")], STAR["dim_seller"])
+    assert tables.Mart({"dim_seller": dim}).is_small("dim_seller") is small
+    assert not tables.Mart({"dim_seller": dim}, stored=False).is_small("dim_seller")
 
 
 def test_a_large_dimension_meets_sums_per_key(spark, sf0001, nothing_is_small):

@@ -1,5 +1,5 @@
 """Independent SQL for every registered query, run by DuckDB on the raw tables."""
 
-from oracle.catalog import oracle_queries
+from martlens_oracle.catalog import oracle_queries
 
 __all__ = ["oracle_queries"]

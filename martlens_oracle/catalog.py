@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from oracle.tables import with_tables
-from oracle.texts import with_text
+from martlens_oracle.tables import with_tables
+from martlens_oracle.texts import with_text
 
 PERIODS: dict[str, tuple[int | None, int | None]] = {
     "all": (None, None),

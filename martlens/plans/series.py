@@ -97,7 +97,8 @@ def exact_delivery_by_category(m: Mart, p: Period = ALL) -> DataFrame:
 
 def delivery_by_state(m: Mart, p: Period = ALL) -> DataFrame:
     return exact_delivery_by_state(m, p).select(
-        F.col("label").alias("state"), as_double(F.col("avg_delivery_days")).alias("avg_delivery_days")
+        F.col("label").alias("state"),
+        as_double(F.col("avg_delivery_days")).alias("avg_delivery_days"),
     )
 
 
@@ -129,9 +130,8 @@ def rating_points(m: Mart, p: Period, by: str) -> DataFrame:
 
 
 def _ratings(points: DataFrame) -> DataFrame:
-    return points.select("pos", "label", as_double(F.col("avg_rating")).alias("avg_rating")).orderBy(
-        "pos"
-    )
+    rating = as_double(F.col("avg_rating")).alias("avg_rating")
+    return points.select("pos", "label", rating).orderBy("pos")
 
 
 def rating_by_year(m: Mart, p: Period = ALL) -> DataFrame:

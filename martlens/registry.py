@@ -136,7 +136,9 @@ def _boards() -> dict[str, Query]:
         found[f"map_scale_{entity}"] = _on_mart(
             lambda m, e=entity: geo.map_scale(geo.state_distribution(m, e))
         )
-        found[f"state_distribution_json_{entity}"] = _on_mart(lambda m, e=entity: state_document(m, e))
+        found[f"state_distribution_json_{entity}"] = _on_mart(
+            lambda m, e=entity: state_document(m, e)
+        )
     return found | {
         "top_states": _on_mart(leaders.top_states),
         "insight_state": _on_mart(insights.insight_state),

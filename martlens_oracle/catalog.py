@@ -354,7 +354,8 @@ def _insight_items(period: str, label: str) -> str:
 
 
 def _insight_concentration(shown: str, measure: str, advice: str | None = None) -> str:
-    action = f"'{advice}'" if advice else "CASE WHEN 2 * top >= total THEN 'focus' ELSE 'broaden' END"
+    by_share = "CASE WHEN 2 * top >= total THEN 'focus' ELSE 'broaden' END"
+    action = f"'{advice}'" if advice else by_share
     lead = "100 * (top - second) >= 20 * second"
     return with_tables(
         f"""

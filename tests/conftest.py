@@ -53,7 +53,10 @@ def make_mart(spark):
 def make_normalized(spark):
     def make(**rows: list[tuple]) -> Normalized:
         return Normalized(
-            {name: spark.createDataFrame(rows.get(name, []), NORMALIZED[name]) for name in NORMALIZED}
+            {
+                name: spark.createDataFrame(rows.get(name, []), ddl)
+                for name, ddl in NORMALIZED.items()
+            }
         )
 
     return make

@@ -17,7 +17,11 @@ def payments(make_mart, *counts):
 
 @pytest.mark.parametrize(
     ("counts", "share", "status"),
-    [((6994, 3006), 69.9, "open"), ((6996, 3004), 70.0, "dominant"), ((6995, 3005), 70.0, "dominant")],
+    [
+        ((6994, 3006), 69.9, "open"),
+        ((6995, 3005), 70.0, "dominant"),
+        ((6996, 3004), 70.0, "dominant"),
+    ],
 )
 def test_payment_share_is_rounded_before_the_test(make_mart, counts, share, status):
     row = insights.insight_payment(payments(make_mart, *counts)).first()
@@ -31,8 +35,8 @@ def test_payment_without_rows(make_mart):
 
 
 def customers(make_mart, **per_state):
-    rows = [(i, f"C{i}", s) for i, s in enumerate(s for s, n in per_state.items() for _ in range(n))]
-    return make_mart(dim_pelanggan=rows)
+    states = [state for state, n in per_state.items() for _ in range(n)]
+    return make_mart(dim_pelanggan=[(i, f"C{i}", state) for i, state in enumerate(states)])
 
 
 @pytest.mark.parametrize(

@@ -85,9 +85,8 @@ def test_dashboard_states_leave_out_blanks_and_pairs_keep_them(states):
 
 
 def test_map_scale(states):
-    scaled = tuples(
-        geo.map_scale(geo.state_distribution(states)).select("jumlah", "radius", "pixel_radius", "color")
-    )
+    shown = ["jumlah", "radius", "pixel_radius", "color"]
+    scaled = tuples(geo.map_scale(geo.state_distribution(states)).select(*shown))
     assert scaled[0] == (3, 200000.0, 18, "#e74c3c")
     assert scaled[1][2:] == (14, "#e74c3c")
     assert scaled[2] == (1, 15000.0, 6, "#f1c40f")
@@ -117,7 +116,8 @@ def test_first_of_equal_extremes_wins(spark):
     df = spark.createDataFrame(
         [("b", 5), ("a", 5), (None, 5), ("z", 1), ("y", 1)], "label string, v int"
     )
-    row = df.agg(first_extreme("v", "label", True).alias("hi"), first_extreme("v", "label", False).alias("lo")).first()
+    highest, lowest = first_extreme("v", "label", True), first_extreme("v", "label", False)
+    row = df.agg(highest.alias("hi"), lowest.alias("lo")).first()
     assert (row.hi.label, row.hi.value, row.lo.label, row.lo.value) == ("a", 5, "y", 1)
 
 

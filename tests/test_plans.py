@@ -79,7 +79,8 @@ def nothing_is_small(monkeypatch):
 )
 def test_tables_are_measured_before_they_are_broadcast(spark, monkeypatch, limit, value, small):
     monkeypatch.setattr(tables, limit, value)
-    dim = spark.createDataFrame([(1, "S1", "é"), (2, "S2", None), (3, None, "R")], STAR["dim_seller"])
+    sellers = [(1, "S1", "é"), (2, "S2", None), (3, None, "R")]
+    dim = spark.createDataFrame(sellers, STAR["dim_seller"])
     assert tables.Mart({"dim_seller": dim}).is_small("dim_seller") is small
     assert not tables.Mart({"dim_seller": dim}, stored=False).is_small("dim_seller")
 
@@ -147,7 +148,8 @@ def one_hot_order(spark, sf0001, tmp_path):
     )
     path = str(tmp_path / "items")
     n.order_items.repartition(8).unionByName(hot).write.parquet(path)
-    return n.replace(order_items=spark.read.schema(NORMALIZED["order_items"]).parquet(path)), n_items
+    items = spark.read.schema(NORMALIZED["order_items"]).parquet(path)
+    return n.replace(order_items=items), n_items
 
 
 def test_a_hot_order_is_split_in_the_build(spark, sf0001, one_hot_order, tight_memory):
@@ -164,16 +166,12 @@ def test_a_hot_order_is_split_in_the_category_pair(spark, one_hot_order, tight_m
 
 def test_a_hot_order_is_summed_before_it_is_joined(spark, one_hot_order, tight_memory):
     n, n_items = one_hot_order
-    total = sum(row.total_revenue for row in PAIRS["q01"].normalized(n).collect())
-    plain = sum(row.total_revenue for row in PAIRS["q01"].normalized(open_normalized_of(n)).collect())
+    cold = n.replace(order_items=n.order_items.where("NOT (order_id = 0 AND price = 1.50)"))
+    ask = PAIRS["q01"].normalized
+    total, plain = (sum(row.total_revenue for row in ask(side).collect()) for side in (n, cold))
     assert round(total - plain, 2) == float(Decimal("1.50") * n_items)
 
 
-def open_normalized_of(n):
-    """The same tables without the hot items."""
-    return n.replace(order_items=n.order_items.where("NOT (order_id = 0 AND price = 1.50)"))
-
-
 def test_a_hot_month_becomes_many_files(spark, tmp_path, tight_memory):
     rows = spark.range(0, 200000, 1, 8).selectExpr(
         "id", "uuid() AS payload", "2024 AS tahun", "if(id % 10 = 0, 2, 1) AS bulan"

@@ -35,7 +35,8 @@ def test_null_keys_meet(spark, sf001):
 
 
 def test_one_sided_keys_are_reported(spark, sf0001):
-    cells = reconcile(PAIRS["q04"], open_normalized(spark, sf0001), open_mart(spark, sf0001, "unit"))
+    n, m = open_normalized(spark, sf0001), open_mart(spark, sf0001, "unit")
+    cells = reconcile(PAIRS["q04"], n, m)
     assert {(row.in_normalized, row.in_star) for row in cells.collect()} == {
         (True, False), (False, True),
     }

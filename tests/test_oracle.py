@@ -4,9 +4,11 @@ import pytest
 from oracle_check import connect, difference
 
 import __spark_entry__ as contract
+from martlens.registry import all_queries
+from martlens_oracle import oracle_queries
 
-QUERIES = contract.queries()
-SQL = contract.oracle_sql()
+QUERIES = all_queries()
+SQL = oracle_queries()
 
 
 @pytest.fixture(scope="module")
@@ -18,6 +20,11 @@ def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
 
 
+def test_all_are_registered():
+    assert set(QUERIES) <= set(contract.queries())
+    assert set(SQL) <= set(contract.oracle_sql())
+
+
 def test_entry(spark):
     assert contract.entry(spark).count() == 10
 

@@ -38,7 +38,9 @@ _CHUNK = 1 << 12
 LEAF, PIVOTS, DEPTH = 256, 8, 4
 #: Untested pairs that a set proposes in the first round; eight times more in each later one.
 PROPOSALS = 8
-_SCAN = "kind int, doc_id long, n long, h long, sketch binary, chunk int, bits binary"
+_SCAN = (
+    "kind int, doc_id long, text_hash long, n long, h long, sketch binary, chunk int, bits binary"
+)
 _ROW = "region long, side int, h long, n long, comp long, sketch binary, tested array<long>"
 
 
@@ -51,9 +53,10 @@ def _scan(docs: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             rows, held, size = [], [], 0
             texts = (text.as_py() for text in batch.column(1))
-            for doc, found in zip(batch.column(0).to_pylist(), shingle_sets(texts, width), strict=True):
+            known = zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)
+            for names, found in zip(known, shingle_sets(texts, width), strict=True):
                 sketch = parity_sketch(found, SKETCH_BITS) if len(found) else None
-                rows.append((0, doc, len(found), set_hash(found)[0], sketch, None, None))
+                rows.append((0, *names, len(found), set_hash(found)[0], sketch, None, None))
                 held.append(found & np.uint64(COUNTERS - 1))
                 size += len(found)
                 if size > 1 << 20:
@@ -62,10 +65,11 @@ def _scan(docs: DataFrame, width: int) -> DataFrame:
             if held:
                 totals += np.bincount(np.concatenate(held).astype(np.int64), minlength=COUNTERS)
             yield from batches_of(_SCAN, rows)
-        parts = [(1, None, None, None, None, i, data) for i, data in chunks(totals, _CHUNK)]
+        parts = [(1, None, None, None, None, None, i, data) for i, data in chunks(totals, _CHUNK)]
         yield from batches_of(_SCAN, parts)
 
-    return docs.select("doc_id", "text").mapInArrow(read, _SCAN)
+    given = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    return given.mapInArrow(read, _SCAN)
 
 
 def _levels(counts: np.ndarray) -> np.ndarray:
@@ -295,19 +299,8 @@ def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, p
     )
 
 
-def jaccard_components(
-    docs: DataFrame, width: int = 5, percent: int = 80, leaf: int = LEAF
-) -> DataFrame:
-    """Components of documents (doc_id, text) linked by similar shingle sets.
-
-    Two documents link when the Jaccard similarity of their sets of
-    ``width``-word shingles is at least ``percent`` hundredths. One row per
-    document: doc_id, n_shingles, component_id (the smallest doc_id reachable
-    by links, its own included). A document without words (or text) has no
-    shingles, no link, and its own id. Equal sets are one set with one
-    representative. Rows of equal doc_id are joined like others; a null doc_id
-    takes part, but names a component only if no other id is in it. No
-    documents, no rows. Other columns are not read.
+def _united(docs: DataFrame, width: int, percent: int, leaf: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_hash, n, h) of every document, and (h, rep, root) of every set.
 
     Each round proposes pairs, verifies them and unites their components;
     regions whose sets are all in one component are finished. A pair found
@@ -354,11 +347,44 @@ def jaccard_components(
     named = classes.join(roots, F.col("h") == F.col("node"), "left").withColumn(
         "root", F.coalesce("root", "h")
     )
+    every = scanned.where("kind = 0").select("doc_id", "text_hash", "n", "h")
+    return every, named.select("h", "rep", "root")
+
+
+def jaccard_components(
+    docs: DataFrame, width: int = 5, percent: int = 80, leaf: int = LEAF
+) -> DataFrame:
+    """Components of documents (doc_id, text) linked by similar shingle sets.
+
+    Two documents link when the Jaccard similarity of their sets of
+    ``width``-word shingles is at least ``percent`` hundredths. One row per
+    document: doc_id, n_shingles, component_id (the smallest doc_id reachable
+    by links, its own included). A document without words (or text) has no
+    shingles, no link, and its own id. Equal sets are one set with one
+    representative. Rows of equal doc_id are joined like others; a null doc_id
+    takes part, but names a component only if no other id is in it. No
+    documents, no rows. Other columns are not read.    """
+    every, named = _united(docs, width, percent, leaf)
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = named.join(least, "root").select("h", "component_id")
-    every = scanned.where("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "h")
+    own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return every.join(named, "h", "left").select(
-        "doc_id",
-        "n_shingles",
-        F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        "doc_id", F.col("n").alias("n_shingles"), own.alias("component_id")
     )
+
+
+def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, leaf: int = LEAF) -> DataFrame:
+    """``docs`` with one document of each component, in all its columns.
+
+    The one with the smallest doc_id stays (a null id last; among equal ids
+    that of least text hash). Documents without words all stay.
+    """
+    every, named = _united(docs, width, percent, leaf)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("w")
+    winners = every.where("n > 0").join(named, "h").groupBy("root").agg(first)
+    winners = winners.select(F.xxhash64("w.doc_id", "w.text_hash").alias("_winner"))
+    keyed = docs.withColumn("_key", F.xxhash64("doc_id", F.xxhash64("text")))
+    has_words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    kept = keyed.where(has_words).join(winners, F.col("_key") == F.col("_winner"), "left_semi")
+    kept = kept.dropDuplicates(["_key"])
+    return kept.unionByName(keyed.where(~has_words)).drop("_key")

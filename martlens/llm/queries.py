@@ -7,9 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from martlens.llm.contamination import contained_items
+from martlens.llm.cotraining import score_quality
+from martlens.llm.jaccard_join import jaccard_components
+from martlens.llm.line_dedup import remove_shared_lines
 from martlens.llm.packing import pack
+from martlens.llm.sharding import shard_documents
 from martlens.llm.token_files import read_index, write_tokens
+from martlens.llm.toxicity import score_toxicity
 from martlens.llm.url_filter import judge_urls
+from martlens.llm.vector_dedup import vector_links
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,10 +51,40 @@ def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"), tokenizer(spark))
 
 
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return score_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op4_contamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = contained_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select("doc_id", "item_id", "shared", "n_shingles", "containment")
+
+
+def op5_vector_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_links(table(spark, folder, "embeddings"))
+
+
+def op6_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_components(table(spark, folder, "documents"), width=3, percent=90)
+
+
+def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return shard_documents(table(spark, folder, "documents"))
+
+
 def op8_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return read_index(spark, write_tokens(table(spark, folder, "documents"), tokenizer(spark)))
 
 
+def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = remove_shared_lines(table(spark, folder, "documents"))
+    return found.select("doc_id", "text", "n_chars", "removed_lines")
+
+
+def op10_cotraining(spark: SparkSession, folder: str) -> DataFrame:
+    return score_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 _OP1_SQL = """
 WITH cut AS (
     SELECT page_id, CASE WHEN strpos(url, '://') > 0
@@ -76,13 +113,70 @@ FROM fits WHERE place = 1
 """
 
 
+_OP4_SQL = r"""
+WITH d AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w
+    FROM documents
+), b AS (
+    SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w
+    FROM benchmark
+), ds AS (
+    SELECT DISTINCT doc_id, array_to_string(w[i:i+4], ' ') AS s
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)
+), bs AS (
+    SELECT DISTINCT item_id, array_to_string(w[i:i+4], ' ') AS s
+    FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM b WHERE len(w) > 0)
+), n AS (
+    SELECT item_id, CAST(count(*) AS INTEGER) AS n_shingles FROM bs GROUP BY item_id
+)
+SELECT doc_id, item_id, CAST(count(*) AS INTEGER) AS shared, n_shingles,
+    CAST(count(*) AS DOUBLE) / n_shingles AS containment
+FROM ds JOIN bs USING (s) JOIN n USING (item_id)
+GROUP BY doc_id, item_id, n_shingles
+HAVING count(*) * 100 >= n_shingles * 80
+"""
+
+_OP9_SQL = """
+WITH l AS (
+    SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line,
+        generate_subscripts(string_split(text, chr(10)), 1) AS place
+    FROM documents
+), shared AS (
+    SELECT trim(line) AS line FROM l WHERE trim(line) <> ''
+    GROUP BY 1 HAVING count(DISTINCT coalesce(source, chr(0))) >= 8
+), marked AS (
+    SELECT l.*, CASE WHEN shared.line IS NULL THEN 1 ELSE row_number() OVER (
+        PARTITION BY trim(l.line) ORDER BY doc_id, place) END AS nth
+    FROM l LEFT JOIN shared ON trim(l.line) = shared.line
+), kept AS (
+    SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (nth = 1), '') AS text,
+        CAST(count(*) FILTER (nth > 1) AS INTEGER) AS removed_lines
+    FROM marked GROUP BY doc_id
+)
+SELECT doc_id, kept.text, CASE WHEN removed_lines > 0 THEN length(kept.text) ELSE n_chars END AS n_chars,
+    removed_lines
+FROM kept JOIN documents USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_url_filter": op1_url_filter,
         "op2_packing": op2_packing,
+        "op3_toxicity": op3_toxicity,
+        "op4_contamination": op4_contamination,
+        "op5_vector_dedup": op5_vector_dedup,
+        "op6_jaccard_join": op6_jaccard_join,
+        "op7_sharding": op7_sharding,
         "op8_token_files": op8_token_files,
+        "op9_line_dedup": op9_line_dedup,
+        "op10_cotraining": op10_cotraining,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": _OP1_SQL}
+    return {
+        "op1_url_filter": _OP1_SQL,
+        "op4_contamination": _OP4_SQL,
+        "op9_line_dedup": _OP9_SQL,
+    }

@@ -187,3 +187,20 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
     return rows.mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs``, in all their columns, whose whole text is not predicted toxic."""
+    spark = docs.sparkSession
+    ship(spark)
+    model = spark.sparkContext.broadcast((*(c := train(docs, labels)).tables(), c.offset))
+    place = docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marked, weights, offset = model.value
+        for batch in batches:
+            texts = (t.as_py() for t in batch.column(place))
+            clean = [weights[f].sum() + offset < 0 for f in n_grams(texts, marked)]
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)

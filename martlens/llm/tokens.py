@@ -18,8 +18,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-#: Remembered words and pieces, and the longest one kept; beyond it a memory starts anew.
-WORDS, PIECES, LONG = 400_000, 400_000, 64
+#: Words and pieces of a generation that is remembered, and the longest one kept.
+WORDS, PIECES, LONG = 300_000, 200_000, 64
 _TAIL = b".,!?;:"
 #: How the known tokenizer splits an ASCII word, in lower case (fixed by its file).
 _ASCII = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
@@ -40,46 +40,60 @@ def _alphabet() -> list[str]:
 _ALPHABET = _alphabet()
 
 
-class _Pieces(dict):
+class _Memory(dict):
+    """What was worked out, in two generations: a full one becomes the old one.
+
+    So memory is bounded, and what comes often is not worked out again.
+    """
+
+    def __init__(self, most: int) -> None:
+        self.most, self.old = most, {}
+
+    def __missing__(self, key):
+        data = self.old.get(key)
+        if data is None:
+            data = self.work_out(key)
+        if len(key) <= LONG:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[key] = data
+        return data
+
+
+class _Pieces(_Memory):
     """Ids of runs that the tokenizer's rules keep in one piece."""
 
     def __init__(self, model: object) -> None:
+        super().__init__(PIECES)
         self.model = model
 
-    def __missing__(self, piece: str) -> bytes:
+    def work_out(self, piece: str) -> bytes:
         written = piece if piece.isascii() else "".join(_ALPHABET[b] for b in piece.encode())
         ids = [token.id for token in self.model.tokenize(written)]
-        data = struct.pack(f"<{len(ids)}I", *ids)
-        if len(piece) <= LONG:
-            if len(self) >= PIECES:
-                self.clear()
-            self[piece] = data
-        return data
+        return struct.pack(f"<{len(ids)}I", *ids)
 
 
-class _Words(dict):
+class _Words(_Memory):
     """Ids of words, a word being what stands between ASCII white space."""
 
     def __init__(self, encoder: WordEncoder) -> None:
+        super().__init__(WORDS)
         self.encoder = encoder
 
-    def __missing__(self, word: bytes) -> bytes:
+    def work_out(self, word: bytes) -> bytes:
         core = word.rstrip(_TAIL)
         pieces = self.encoder.pieces
-        run = core.decode("utf-8", "surrogatepass")
-        if run.isalpha() and (run.isascii() or max(run) < "Ā"):
-            data = pieces[run.lower()]
-            if len(core) < len(word):
-                data += self[word[len(core) :]]
-        elif word.isascii() and b"<|" not in word and run.isprintable():
-            data = b"".join(map(pieces.__getitem__, _ASCII.findall(word.decode().lower())))
+        if core.isalpha():  # ASCII letters
+            data = pieces[core.lower().decode()]
         else:
-            data = self.encoder.whole(word.decode("utf-8", "surrogatepass"))
-        if len(word) <= LONG:
-            if len(self) >= WORDS:
-                self.clear()
-            self[word] = data
-        return data
+            run = core.decode("utf-8", "surrogatepass")
+            if not (run.isalpha() and max(run) < "Ā"):
+                if word.isascii() and b"<|" not in word and run.isprintable():
+                    return b"".join(map(pieces.__getitem__, _ASCII.findall(word.decode().lower())))
+                return self.encoder.whole(word.decode("utf-8", "surrogatepass"))
+            data = pieces[run.lower()]
+        return data + self[word[len(core) :]] if len(core) < len(word) else data
 
 
 class WordEncoder:

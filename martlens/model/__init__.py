@@ -5,6 +5,7 @@ from martlens.model.schemas import (
     PERIOD_COLUMNS,
     STAR,
     STAR_KEYS,
+    checked,
     conform,
     duplicate_keys,
 )
@@ -17,6 +18,7 @@ __all__ = [
     "STAR_KEYS",
     "Mart",
     "Normalized",
+    "checked",
     "conform",
     "duplicate_keys",
 ]

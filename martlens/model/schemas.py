@@ -71,6 +71,21 @@ def conform(df: DataFrame, ddl: str) -> DataFrame:
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
 
 
+def checked(df: DataFrame, ddl: str, where: str) -> DataFrame:
+    """The declared columns of a stored table, in order; raises where one is missing or mistyped."""
+    schema = T.StructType.fromDDL(ddl)
+    found = {field.name: field.dataType for field in df.schema}
+    wrong = [
+        f"{f.name}: {found[f.name].simpleString() if f.name in found else 'missing'}"
+        f" instead of {f.dataType.simpleString()}"
+        for f in schema
+        if found.get(f.name) != f.dataType
+    ]
+    if wrong:
+        raise ValueError(f"{where}: {'; '.join(wrong)}")
+    return df.select(*schema.names)
+
+
 def duplicate_keys(dim: DataFrame, key: str) -> DataFrame:
     """Key values that occur more than once; empty for a sound dimension."""
     counted = dim.groupBy(key).agg(F.count(F.lit(1)).alias("n_rows"))

@@ -19,13 +19,20 @@ KeyRule = Callable[[Column], Column]
 _BY_PERIOD = ("tahun", "bulan")
 
 
-def number_after_letter(natural_id: Column) -> Column:
-    """Surrogate key of ids such as ``C42``: the number behind the letter.
-
-    It needs no lookup, so facts get their keys without joining a dimension.
-    Pass another rule to the build where ids look different.
+def surrogate_key(natural_id: Column) -> Column:
+    """Surrogate key of any id, worked out from the whole id.
+
+    A capital letter and a number without leading zeros (``C42``) gives the
+    number; every other id gives a negative key, from a 63-bit hash of all of
+    it. So facts get their keys without joining a dimension, and only a NULL
+    id has a NULL key. Two ids of a dimension can meet in one key only if they
+    share a number behind different letters, or a hash; ``check_keys``, which
+    ``save_mart`` runs, raises then. Pass another rule for such ids.
     """
-    return F.substring(natural_id, 2, 20).try_cast("long")
+    number = F.regexp_extract(natural_id, "^[A-Z](0|[1-9][0-9]{0,17})$", 1)
+    hashed = -F.xxhash64(natural_id).bitwiseAND(F.lit((1 << 63) - 1)) - 1
+    own = F.when(number != "", F.nullif(number, F.lit("")).cast("long")).otherwise(hashed)
+    return F.when(natural_id.isNotNull(), own)
 
 
 def date_key(moment: Column) -> Column:
@@ -50,7 +57,7 @@ def dim_waktu(n: Normalized) -> DataFrame:
     )
 
 
-def dim_pelanggan(n: Normalized, key: KeyRule = number_after_letter) -> DataFrame:
+def dim_pelanggan(n: Normalized, key: KeyRule = surrogate_key) -> DataFrame:
     customer = F.col("customer_id")
     return n.customers.select(
         key(customer).alias("pelanggan_key"),
@@ -59,7 +66,7 @@ def dim_pelanggan(n: Normalized, key: KeyRule = number_after_letter) -> DataFram
     )
 
 
-def dim_produk(n: Normalized, key: KeyRule = number_after_letter) -> DataFrame:
+def dim_produk(n: Normalized, key: KeyRule = surrogate_key) -> DataFrame:
     product = F.col("product_id")
     translated = translate_category(n.products, n.product_category_translation)
     return translated.select(
@@ -70,7 +77,7 @@ def dim_produk(n: Normalized, key: KeyRule = number_after_letter) -> DataFrame:
     )
 
 
-def dim_seller(n: Normalized, key: KeyRule = number_after_letter) -> DataFrame:
+def dim_seller(n: Normalized, key: KeyRule = surrogate_key) -> DataFrame:
     seller = F.col("seller_id")
     return n.sellers.select(
         key(seller).alias("seller_key"),
@@ -80,8 +87,11 @@ def dim_seller(n: Normalized, key: KeyRule = number_after_letter) -> DataFrame:
 
 
 def _method_key(method: Column) -> Column:
-    # Payment types start with their number.
-    return F.substring(method, 1, 1).try_cast("int")
+    """The whole number that a payment type starts with; else a hash, below zero."""
+    number = F.regexp_extract(method, "^([1-9][0-9]{0,8})-", 1)
+    hashed = (-F.xxhash64(method).bitwiseAND(F.lit((1 << 31) - 1)) - 1).cast("int")
+    own = F.when(number != "", F.nullif(number, F.lit("")).cast("int")).otherwise(hashed)
+    return F.when(method.isNotNull(), own)
 
 
 def dim_metode_pembayaran(n: Normalized) -> DataFrame:
@@ -102,7 +112,7 @@ def _dated(moment: str) -> list[Column]:
     ]
 
 
-def order_lines(n: Normalized, key: KeyRule = number_after_letter) -> DataFrame:
+def order_lines(n: Normalized, key: KeyRule = surrogate_key) -> DataFrame:
     """Each order item with the keys, date and delivery time of its order.
 
     The one large join of the build. It is on the order id, unique on the
@@ -160,7 +170,7 @@ def fakta_review(n: Normalized) -> DataFrame:
 
 
 def build_mart(
-    n: Normalized, qty_mode: str = "quantity", key: KeyRule = number_after_letter
+    n: Normalized, qty_mode: str = "quantity", key: KeyRule = surrogate_key
 ) -> Mart:
     """The whole star as lazy DataFrames over the normalized tables."""
     lines = order_lines(n, key)

@@ -1,463 +1,112 @@
-"""The wording of insights: what happens now, what follows, what to do.
+"""Texts of insights: what is, what it signals, what to do.
 
-Each insight has a list of sentences. A sentence belongs to one of the three
-text columns and is picked by the value of a code column; the sentences of a
-column are joined in the order given.
+The three texts are composed by one pattern each from the insight's own
+columns: its code and figures, its signals, and its action with what it is
+about. ``VIEWS`` says which columns those are; a column that is NULL is left
+out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from martlens.functions import number_text
-from martlens.functions.templates import chosen, field_names, readable
 from martlens.operators.period import ALL, Period
-from martlens.sources.literals import MONTH_NAMES
 
 
 @dataclass(frozen=True)
-class Sentence:
-    column: str
-    code: str
-    by_value: Mapping[str, str]
-
-
-def _same(codes: str, text: str) -> dict[str, str]:
-    return dict.fromkeys(codes.split(), text)
+class View:
+    """Columns of an insight's texts. Figures are written ``column:style``; a
+    style is the number of decimals, ``m`` for money, or nothing for text."""
+
+    subject: str
+    figures: str
+    signals: str
+    about: str
+    action: str = "status"
+
+
+VIEWS: dict[str, View] = {
+    "revenue": View(
+        "revenue", "last_label last_revenue:m max_label max_revenue:m min_label min_revenue:m",
+        "trend outlook", "min_label",
+    ),
+    "payment": View(
+        "payment methods", "top_method top_count:0 top_share:1 second_method", "status", "top_method"
+    ),
+    "top_items_product": View(
+        "products", "top_label top_qty:0 top_share:1 second_label gap:1", "race", "top_label"
+    ),
+    "top_items_category": View(
+        "categories", "top_label top_qty:0 top_share:1 second_label gap:1", "race", "top_label"
+    ),
+    "state": View("states", "top_label top_value:0 gap:1", "race", "top_label", "action"),
+    "customer": View("customers", "top_label top_value:m gap:1", "race", "top_label", "action"),
+    "seller_qty": View(
+        "sellers by quantity", "top_label top_value:0 gap:1", "race", "top_label", "action"
+    ),
+    "seller_revenue": View(
+        "sellers by revenue", "top_label top_value:m gap:1", "race", "top_label", "action"
+    ),
+    "delivery_state": View(
+        "delivery by state", "max_label max_days:2 min_label min_days:2", "status", "max_label", "action"
+    ),
+    "delivery_category": View(
+        "delivery by category", "max_label max_days:2 min_label min_days:2", "status", "max_label",
+        "action",
+    ),
+    "rating_year": View(
+        "rating by year", "mean_rating:2 best_label best_rating:2 worst_label worst_rating:2",
+        "status", "worst_label", "action",
+    ),
+    "rating_month": View(
+        "rating by month", "best_label best_rating:2 worst_label worst_rating:2", "status",
+        "worst_label", "action",
+    ),
+}
 
 
 def period_name(p: Period) -> str:
-    """The filter in words."""
-    month = MONTH_NAMES[p.month - 1] if p.month and 1 <= p.month <= 12 else ""
+    """The filter as ``1997-03``, ``1997``, ``month 03`` or ``all dates``."""
     if p.year and p.month:
-        return f"{month} {p.year}"
+        return f"{p.year}-{p.month:02d}"
     if p.year:
-        return f"tahun {p.year}"
-    return f"bulan {month}" if p.month else "semua periode"
-
-
-# What one point of a revenue series is called.
-POINT_NAMES = {"day": "hari", "month": "bulan", "year": "tahun", "year_month": "periode"}
-
-NOW, NEXT, ACTION = "now_text", "next_text", "action_text"
-
-SENTENCES: dict[str, list[Sentence]] = {
-    "revenue": [
-        Sentence(
-            NOW,
-            "status",
-            {
-                "none": "Belum ada revenue pada pilihan ini.",
-                "single": "Hanya {last_label} yang terisi untuk {period}: {last_money}.",
-                "multi": "Untuk {period}, {max_label} paling tinggi ({max_money}) dan "
-                "{min_label} paling rendah ({min_money}).",
-            },
-        ),
-        Sentence(
-            NOW,
-            "trend",
-            {
-                "up": " Revenue {point} terakhir naik dari {point} sebelumnya.",
-                "down": " Revenue {point} terakhir turun dari {point} sebelumnya.",
-                "flat": " Revenue {point} terakhir sama dengan {point} sebelumnya.",
-            },
-        ),
-        Sentence(
-            NEXT,
-            "outlook",
-            {
-                "strong": "Posisi akhir {period} di atas rata-rata dan berpeluang bertahan.",
-                "weak": "Posisi akhir {period} di bawah rata-rata dan berisiko tetap lemah.",
-                "limited": "Satu {point} belum cukup untuk membaca arah {period}.",
-            },
-        ),
-        Sentence(
-            ACTION,
-            "status",
-            _same(
-                "single multi",
-                "Angkat penjualan pada {min_label} dan jaga capaian {max_label} di {period}.",
-            ),
-        ),
-    ],
-    "payment": [
-        Sentence(
-            NOW,
-            "status",
-            {
-                "none": "Belum ada pembayaran pada periode ini.",
-                **_same(
-                    "dominant open",
-                    "{top_method} memimpin pembayaran {period}: {top_count} transaksi, "
-                    "{top_share}% dari semuanya. Urutan kedua: {second_method}.",
-                ),
-            },
-        ),
-        Sentence(
-            NEXT,
-            "status",
-            {
-                "dominant": "Ketergantungan pada {top_method} besar dan cenderung menetap.",
-                "open": "Pangsa {top_method} masih dapat direbut metode lain.",
-            },
-        ),
-        Sentence(
-            ACTION,
-            "status",
-            {
-                "dominant": "Jaga kelancaran pembayaran dengan {top_method}.",
-                "open": "Rawat {top_method} sekaligus kenalkan pilihan pembayaran lain.",
-            },
-        ),
-    ],
-    "top_items": [
-        Sentence(
-            NOW,
-            "status",
-            {
-                "none": "Belum ada penjualan pada periode ini.",
-                **_same(
-                    "dominant leading even",
-                    "{top_label} menjadi {kind} terlaris {period}: {top_qty} unit, {top_share}% "
-                    "dari sepuluh besar.",
-                ),
-            },
-        ),
-        Sentence(
-            NOW,
-            "race",
-            {
-                "lead": " Jaraknya {gap}% di depan {second_label}.",
-                "tight": " {second_label} membayangi dengan selisih {gap}%.",
-            },
-        ),
-        Sentence(
-            NEXT,
-            "status",
-            {
-                "dominant": "Posisi puncak {top_label} kuat selama pola beli tetap.",
-                "leading": "{top_label} di depan, tetapi selisih {gap}% masih bisa dikejar.",
-                "even": "Peringkat berdekatan dan mudah berubah.",
-            },
-        ),
-        Sentence(
-            ACTION,
-            "status",
-            {
-                "dominant": "Amankan stok dan tampilan {top_label}.",
-                "leading": "Dorong {top_label} dan amati pesaing terdekatnya.",
-                "even": "Bagi promosi ke beberapa {kind} teratas.",
-            },
-        ),
-    ],
-    "state": [
-        Sentence(
-            NOW,
-            "status",
-            {
-                "none": "Belum ada data state.",
-                **_same(
-                    "concentrated leading balanced",
-                    "Pelanggan terbanyak berada di {top_label}: {top_value} pelanggan.",
-                ),
-            },
-        ),
-        Sentence(
-            NOW,
-            "race",
-            {
-                "lead": " State kedua tertinggal {gap}%.",
-                "tight": " State kedua hanya terpaut {gap}%.",
-            },
-        ),
-        Sentence(
-            NEXT,
-            "status",
-            {
-                "concentrated": "Pemusatan di {top_label} akan bertahan tanpa perubahan besar.",
-                "leading": "{top_label} memimpin, namun state kedua masih dapat menyusul.",
-                "balanced": "Lima state teratas berimbang dan dapat bertukar tempat.",
-            },
-        ),
-        Sentence(
-            ACTION,
-            "action",
-            {
-                "focus": "Tambah dukungan di {top_label} tanpa melupakan state lain.",
-                "broaden": "Sebar pemasaran ke beberapa state teratas.",
-            },
-        ),
-    ],
-    "delivery_state": [
-        Sentence(
-            NOW,
-            "status",
-            {
-                "none": "Belum ada data pengiriman per state.",
-                **_same(
-                    "slow varied consistent",
-                    "Pengiriman paling lama: {max_label} ({max_days} hari); paling cepat: "
-                    "{min_label} ({min_days} hari).",
-                ),
-            },
-        ),
-        Sentence(
-            NEXT,
-            "status",
-            {
-                "slow": "Tanpa perbaikan logistik, {max_label} akan terus terlambat.",
-                "varied": "Jarak antar state lebar; yang lambat masih bisa dipercepat.",
-                "consistent": "Waktu kirim antar state mirip dan cenderung tetap.",
-            },
-        ),
-        Sentence(
-            ACTION,
-            "action",
-            {
-                "improve": "Terapkan cara kerja {min_label} di {max_label}.",
-                "maintain": "Pertahankan standar dan percepat state yang tertinggal.",
-            },
-        ),
-    ],
-    "delivery_category": [
-        Sentence(
-            NOW,
-            "status",
-            {
-                "none": "Belum ada data pengiriman per kategori.",
-                **_same(
-                    "slow varied consistent",
-                    "Kategori paling lama dikirim: {max_label} ({max_days} hari); paling cepat: "
-                    "{min_label} ({min_days} hari).",
-                ),
-            },
-        ),
-        Sentence(
-            NEXT,
-            "status",
-            {
-                "slow": "Lamanya kiriman {max_label} dapat menurunkan kepuasan pembeli.",
-                "varied": "Perbedaan antar kategori membuka ruang perbaikan khusus.",
-                "consistent": "Perbedaan antar kategori kecil; perbaikan bisa serentak.",
-            },
-        ),
-        Sentence(
-            ACTION,
-            "action",
-            {
-                "improve": "Periksa alur kirim {max_label} bersama penjualnya.",
-                "maintain": "Jaga konsistensi dan pangkas waktu sedikit demi sedikit.",
-            },
-        ),
-    ],
-    "rating_year": [
-        Sentence(
-            NOW,
-            "status",
-            {
-                "none": "Belum ada rating tahunan.",
-                **_same(
-                    "strong middle low",
-                    "Rating terbaik pada {best_label} ({best_rating}), terendah pada "
-                    "{worst_label} ({worst_rating}); rata-rata {mean_rating}.",
-                ),
-            },
-        ),
-        Sentence(
-            NEXT,
-            "status",
-            {
-                "strong": "Rating kuat dan stabil bila layanan terjaga.",
-                "middle": "Rating sedang; masih ada ruang untuk naik.",
-                "low": "Rating rendah dan perlu segera diperbaiki.",
-            },
-        ),
-        Sentence(
-            ACTION,
-            "action",
-            {
-                "maintain": "Teruskan praktik {best_label} dan ukur tiap tahun.",
-                "improve": "Cari penyebab rendahnya rating {worst_label}.",
-            },
-        ),
-    ],
-    "rating_month": [
-        Sentence(
-            NOW,
-            "status",
-            {
-                "none": "Belum ada rating bulanan.",
-                **_same(
-                    "up down flat",
-                    "Bulan terbaik {best_label} ({best_rating}), terendah {worst_label} "
-                    "({worst_rating}).",
-                ),
-            },
-        ),
-        Sentence(
-            NEXT,
-            "status",
-            {
-                "up": "Rating naik dari awal ke akhir periode.",
-                "down": "Rating turun dari awal ke akhir periode.",
-                "flat": "Rating akhir sama dengan rating awal.",
-            },
-        ),
-        Sentence(
-            ACTION,
-            "action",
-            {
-                "review": "Telusuri layanan bulan terakhir.",
-                "maintain": "Pertahankan layanan bulan-bulan terbaik.",
-            },
-        ),
-    ],
-    "customer": [
-        Sentence(
-            NOW,
-            "status",
-            {
-                "none": "Belum ada data pelanggan.",
-                **_same(
-                    "concentrated leading balanced",
-                    "Pembeli terbesar {top_label} dengan belanja {top_value}.",
-                ),
-            },
-        ),
-        Sentence(
-            NOW,
-            "race",
-            {
-                "lead": " Pelanggan kedua tertinggal {gap}%.",
-                "tight": " Pelanggan kedua hanya terpaut {gap}%.",
-            },
-        ),
-        Sentence(
-            NEXT,
-            "status",
-            {
-                "concentrated": "{top_label} kemungkinan tetap menjadi pembeli utama.",
-                "leading": "{top_label} memimpin; yang lain dapat menyusul.",
-                "balanced": "Belanja pelanggan berdekatan dan peringkat mudah berganti.",
-            },
-        ),
-        Sentence(
-            ACTION,
-            "action",
-            {
-                "focus": "Beri layanan khusus bagi {top_label}.",
-                "broaden": "Pererat hubungan dan loyalitas pelanggan teratas.",
-            },
-        ),
-    ],
-    "seller": [
-        Sentence(
-            NOW,
-            "status",
-            {
-                "none": "Belum ada data seller.",
-                **_same(
-                    "concentrated leading balanced",
-                    "Seller teratas menurut {metric}: {top_label} dengan {top_value}.",
-                ),
-            },
-        ),
-        Sentence(
-            NOW,
-            "race",
-            {
-                "lead": " Seller kedua tertinggal {gap}%.",
-                "tight": " Seller kedua hanya terpaut {gap}%.",
-            },
-        ),
-        Sentence(
-            NEXT,
-            "status",
-            {
-                "concentrated": "{top_label} kemungkinan besar tetap di puncak.",
-                "leading": "{top_label} memimpin; pesaing dapat mengejar.",
-                "balanced": "Seller bersaing rapat dan peringkat mudah berganti.",
-            },
-        ),
-        Sentence(
-            ACTION,
-            "action",
-            {
-                "watch_revenue": "Awasi revenue {top_label} dan siapkan insentif.",
-                "keep_volume": "Jaga kinerja {top_label} dan bantu seller yang sedang naik.",
-            },
-        ),
-    ],
-}
-
-# How a figure reads in a sentence.
-Reading = Callable[[Column], Column]
-
-
-def whole(value: Column) -> Column:
-    return number_text(value, 0)
-
-
-def money(value: Column) -> Column:
-    return F.concat(F.lit("R$ "), number_text(value, 2))
-
-
-def comma(places: int) -> Reading:
-    """Comma as the decimal sign."""
-    return lambda value: number_text(value, places)
+        return str(p.year)
+    return f"month {p.month:02d}" if p.month else "all dates"
 
 
-def point(places: int) -> Reading:
-    """Point as the decimal sign, no thousands."""
-    return lambda value: F.when(value.isNotNull(), F.format_string(f"%.{places}f", value))
+def _named(figure: str) -> Column:
+    name, _, style = figure.partition(":")
+    value = F.col(name)
+    if style == "m":
+        value = F.concat(F.lit("R$ "), number_text(value, 2))
+    elif style:
+        value = number_text(value, int(style))
+    return F.concat(F.lit(name.replace("_", " ") + " "), value.cast("string"))
 
 
-# Which figures are shown how; all other fields are shown as they are.
-READINGS: dict[str, dict[str, Reading]] = {
-    "payment": {"top_count": whole, "top_share": comma(1)},
-    "top_items": {"top_qty": whole, "top_share": comma(1), "gap": comma(1)},
-    "state": {"top_value": whole, "gap": point(1)},
-    "delivery_state": {"max_days": comma(2), "min_days": comma(2)},
-    "delivery_category": {"max_days": comma(2), "min_days": comma(2)},
-    "rating_year": {"best_rating": point(2), "worst_rating": point(2), "mean_rating": point(2)},
-    "rating_month": {"best_rating": point(2), "worst_rating": point(2)},
-    "customer": {"top_value": money, "gap": point(1)},
-    "seller_qty": {"top_value": whole, "gap": point(1)},
-    "seller_revenue": {"top_value": money, "gap": point(1)},
-}
+def _listed(*parts: Column) -> Column:
+    return F.concat_ws("; ", *parts)
 
 
 def with_text(found: DataFrame, kind: str, p: Period = ALL, by: str = "") -> DataFrame:
-    """Add the three text columns to the row of an insight.
+    """Add now_text, next_text and action_text to the row of an insight.
 
     ``by`` is the dimension of the best sellers or the metric of the sellers.
+    Where nothing was found, only the first text says so.
     """
-    shown = {
-        "period": lambda: F.lit(period_name(p)),
-        "point": lambda: F.lit(POINT_NAMES[p.grain]),
-        "kind": lambda: F.lit("kategori" if by == "category" else "produk"),
-        "metric": lambda: F.lit("revenue" if by == "revenue" else "jumlah terjual"),
-    }
-    for name, reading in READINGS.get(f"{kind}_{by}", READINGS.get(kind, {})).items():
-        shown[name] = lambda name=name, reading=reading: reading(F.col(name))
-    if kind == "revenue":
-        for end in ("last", "max", "min"):
-            shown[f"{end}_money"] = lambda end=end: money(F.col(f"{end}_revenue"))
-    templates = [text for s in SENTENCES[kind] for text in s.by_value.values()]
-    used = {name for template in templates for name in field_names(template)}
-    fields = {
-        name: readable(shown[name]() if name in shown else F.col(name)) for name in sorted(used)
-    }
-    texts = {}
-    for column in (NOW, NEXT, ACTION):
-        parts = [
-            chosen(F.col(s.code), s.by_value, fields)
-            for s in SENTENCES[kind]
-            if s.column == column
-        ]
-        texts[column] = F.concat(*parts) if len(parts) > 1 else parts[0]
-    return found.withColumns(texts)
+    view = VIEWS[f"{kind}_{by}" if by else kind]
+    head = F.lit(f"{view.subject}, {period_name(p)}: ")
+    some = F.col("status") != "none"
+    signals = _listed(*[F.concat(F.lit(f"{s} "), F.col(s)) for s in view.signals.split()])
+    action = F.concat_ws(": ", F.col(view.action), F.col(view.about).cast("string"))
+    return found.withColumns(
+        {
+            "now_text": F.concat(head, _listed(F.col("status"), *map(_named, view.figures.split()))),
+            "next_text": F.when(some, F.concat(head, signals)).otherwise(""),
+            "action_text": F.when(some, action).otherwise(""),
+        }
+    )

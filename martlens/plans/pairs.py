@@ -37,10 +37,6 @@ def _latest_first() -> list[Column]:
     return [F.col("tahun").desc_nulls_first(), F.col("bulan").desc_nulls_first()]
 
 
-def _money(df: DataFrame) -> DataFrame:
-    return df.withColumn("total_revenue", as_double(F.col("total_revenue")))
-
-
 # Revenue per year and month. Items are summed per order before they meet it.
 
 
@@ -51,12 +47,12 @@ def _revenue_by_month_n(n: Normalized) -> DataFrame:
         "order_id", F.year(bought).alias("tahun"), F.month(bought).alias("bulan")
     )
     sums = spent.join(dated, "order_id").groupBy("tahun", "bulan")
-    return _money(sums.agg(F.sum("total_revenue").alias("total_revenue")).orderBy(*_latest_first()))
+    return (sums.agg(F.sum("total_revenue").alias("total_revenue")).orderBy(*_latest_first()))
 
 
 def _revenue_by_month_s(m: Mart) -> DataFrame:
     sums = in_period(m.fakta_penjualan, m.dim_waktu).groupBy("tahun", "bulan")
-    return _money(sums.agg(F.sum("total_harga").alias("total_revenue")).orderBy(*_latest_first()))
+    return (sums.agg(F.sum("total_harga").alias("total_revenue")).orderBy(*_latest_first()))
 
 
 # Quantity and revenue per English category, over all dates.
@@ -76,7 +72,7 @@ def _sales_by_category_n(n: Normalized) -> DataFrame:
         total_qty=("count", "order_item_id"),
         total_revenue=("sum", "price"),
     ).withColumnRenamed("label", "kategori")
-    return _money(sums.orderBy(*highest_first("total_revenue", "kategori")))
+    return (sums.orderBy(*highest_first("total_revenue", "kategori")))
 
 
 def _sales_by_category_s(m: Mart) -> DataFrame:
@@ -89,7 +85,7 @@ def _sales_by_category_s(m: Mart) -> DataFrame:
         total_qty=("sum", "jumlah"),
         total_revenue=("sum", "total_harga"),
     ).withColumnRenamed("label", "kategori")
-    return _money(sums.orderBy(*highest_first("total_revenue", "kategori")))
+    return (sums.orderBy(*highest_first("total_revenue", "kategori")))
 
 
 # Customers per state; blank and unknown states are states here.
@@ -191,7 +187,7 @@ def _items_sold_s(m: Mart) -> DataFrame:
 
 
 def _total_revenue(df: DataFrame, price: str) -> DataFrame:
-    return df.agg(as_double(F.sum(price)).alias("total_revenue"))
+    return df.agg(F.sum(price).alias("total_revenue"))
 
 
 # Payment methods.
@@ -246,7 +242,7 @@ def _top_products_s(m: Mart) -> DataFrame:
 
 def _top_sellers_n(n: Normalized) -> DataFrame:
     sums = per_key(n.order_items, "seller_id", total_revenue=("sum", "price"))
-    return _money(_top(sums, "seller_id", "total_revenue"))
+    return (_top(sums, "seller_id", "total_revenue"))
 
 
 def _top_sellers_s(m: Mart) -> DataFrame:
@@ -258,7 +254,7 @@ def _top_sellers_s(m: Mart) -> DataFrame:
         small=m.is_small("dim_seller"),
         total_revenue=("sum", "total_harga"),
     )
-    return _money(_top(sums, "seller_id", "total_revenue"))
+    return (_top(sums, "seller_id", "total_revenue"))
 
 
 def _top_customers_n(n: Normalized) -> DataFrame:
@@ -269,7 +265,7 @@ def _top_customers_n(n: Normalized) -> DataFrame:
         F.col("customer_id"),
         total_revenue=("sum", "price"),
     )
-    return _money(_top(sums, "customer_id", "total_revenue"))
+    return (_top(sums, "customer_id", "total_revenue"))
 
 
 def _top_customers_s(m: Mart) -> DataFrame:
@@ -281,7 +277,7 @@ def _top_customers_s(m: Mart) -> DataFrame:
         small=m.is_small("dim_pelanggan"),
         total_revenue=("sum", "total_harga"),
     )
-    return _money(_top(sums, "customer_id", "total_revenue"))
+    return (_top(sums, "customer_id", "total_revenue"))
 
 
 # Mean rating per year.

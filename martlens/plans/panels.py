@@ -5,10 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Row
 
 
+#: What a question can raise: errors of Spark, converted or not, and of its own code.
+FAILURES = (PySparkException, Py4JError, AttributeError, ValueError, KeyError, TypeError)
+
+
 @dataclass(frozen=True)
 class Panel:
     """The rows of a question, or why there are none."""
@@ -17,23 +22,17 @@ class Panel:
     error: str | None = None
 
 
-def run_panels(
-    questions: Mapping[str, Callable[[], DataFrame]], most_rows: int = 1000
-) -> dict[str, Panel]:
-    """Answer each question for display.
+def run_panels(questions: Mapping[str, Callable[[], DataFrame]]) -> dict[str, Panel]:
+    """Answer each question for display, with all its rows.
 
-    Panels show aggregates. A result with more than ``most_rows`` rows does not
-    fit a panel: it is reported as an error and not shown in part.
+    A panel's question bounds its rows: a top-k, the points of a calendar, or
+    the groups of a dimension such as states. Whatever fails while a plan is
+    built or run, in Python or in the JVM, is that panel's error alone.
     """
     panels = {}
     for name, ask in questions.items():
         try:
-            rows = ask().take(most_rows + 1)
-            panels[name] = (
-                Panel(error=f"more than {most_rows} rows")
-                if len(rows) > most_rows
-                else Panel(rows)
-            )
-        except (PySparkException, AttributeError, ValueError) as failure:
+            panels[name] = Panel(ask().collect())
+        except FAILURES as failure:
             panels[name] = Panel(error=str(failure))
     return panels

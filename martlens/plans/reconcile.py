@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from martlens.model import Mart, Normalized
 from martlens.plans.pairs import PAIRS, Pair
+from martlens.plans.panels import FAILURES
+
+#: Holds every exact measure: cents of any amount, and any count.
+_EXACT = "decimal(38,4)"
 
 
 def _tall(side: DataFrame, pair: Pair, name: str) -> DataFrame:
@@ -17,16 +20,19 @@ def _tall(side: DataFrame, pair: Pair, name: str) -> DataFrame:
     key = F.to_json(
         F.struct(F.lit(pair.name).alias("pair"), *pair.keys), {"ignoreNullFields": "false"}
     )
-    cells = F.explode(
-        F.array(
-            *[
-                F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value"))
-                for m in pair.measures
-            ]
+    kinds = dict(side.dtypes)
+
+    def cell(measure: str) -> Column:
+        value, inexact = F.col(measure), kinds[measure] in ("double", "float")
+        return F.struct(
+            F.lit(measure).alias("measure"),
+            (F.lit(None) if inexact else value).cast(_EXACT).alias("exact"),
+            value.cast("double").alias("value"),
         )
-    )
+
+    cells = F.explode(F.array(*map(cell, pair.measures)))
     return side.select(key.alias("key"), cells.alias("cell")).select(
-        "key", "cell.measure", "cell.value", F.lit(name).alias("side")
+        "key", "cell.measure", "cell.exact", "cell.value", F.lit(name).alias("side")
     )
 
 
@@ -46,13 +52,26 @@ def align(left: DataFrame, right: DataFrame, pair: Pair) -> DataFrame:
         F.coalesce(of("star", F.lit(True)), F.lit(False)).alias("in_star"),
         of("normalized", F.col("value")).alias("normalized"),
         of("star", F.col("value")).alias("star"),
+        of("normalized", F.col("exact")).alias("normalized_exact"),
+        of("star", F.col("exact")).alias("star_exact"),
     )
 
 
 def reconcile(pair: Pair, n: Normalized, m: Mart) -> DataFrame:
-    """Both values, their distance and whether they agree, per key and measure."""
+    """Both values, their distance and whether they agree, per key and measure.
+
+    Counts and money are compared as exact decimals; the doubles shown are
+    made from them at the end. Means, which are doubles, are compared as such.
+    """
     aligned = align(pair.normalized(n), pair.star(m), pair)
-    same = F.col("in_normalized") & F.col("in_star") & F.col("normalized").eqNullSafe(F.col("star"))
+    exact = F.col("normalized_exact") - F.col("star_exact")
+    apart = F.coalesce(F.abs(exact).cast("double"), F.abs(F.col("normalized") - F.col("star")))
+    same = (
+        F.col("in_normalized")
+        & F.col("in_star")
+        & F.col("normalized").eqNullSafe(F.col("star"))
+        & F.coalesce(exact == 0, F.lit(True))
+    )
     return aligned.select(
         F.lit(pair.name).alias("pair"),
         "key",
@@ -61,7 +80,7 @@ def reconcile(pair: Pair, n: Normalized, m: Mart) -> DataFrame:
         "in_star",
         "normalized",
         "star",
-        F.abs(F.col("normalized") - F.col("star")).alias("delta"),
+        apart.alias("delta"),
         same.alias("match"),
     )
 
@@ -108,17 +127,21 @@ def reconcile_all(n: Normalized, m: Mart) -> DataFrame:
 
 
 def run_pair(pair: Pair, n: Normalized, m: Mart) -> dict[str, object]:
-    """Run both sides on their own; a failing side reports its error text."""
+    """Run each side once, on its own; a failing side reports its error text."""
     report: dict[str, object] = {"pair": pair.name}
     sides = {"normalized": lambda: pair.normalized(n), "star": lambda: pair.star(m)}
     for side, ask in sides.items():
         rows, value, error = 0, None, None
         try:
             result = ask()
-            rows = result.count()
+            # The greatest row is over all columns, so every measure is worked out.
+            every = F.struct(*[F.col(c).cast("string") for c in result.columns])
+            only = F.max(F.struct(every.alias("all"), *result.columns[:1]))
+            found = result.agg(F.count(F.lit(1)).alias("rows"), only.alias("only")).first()
+            rows = found["rows"]
             if rows == 1:
-                value = result.first()[0]
-        except (PySparkException, AttributeError, ValueError) as failure:
+                value = found["only"][1]
+        except FAILURES as failure:
             rows, error = 0, str(failure)
         report |= {f"rows_{side}": rows, f"value_{side}": value, f"error_{side}": error}
     return report

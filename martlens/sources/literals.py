@@ -89,22 +89,6 @@ def month_names(spark: SparkSession) -> DataFrame:
     return names.withColumn("bulan", F.col("bulan").cast("int"))
 
 
-def month_name(month: Column) -> Column:
-    """The name of a month number, NULL outside 1-12."""
-    names = F.array(*[F.lit(name) for name in MONTH_NAMES])
-    return F.when(month.between(1, 12), F.element_at(names, month))
-
-
-def tier_benefits(spark: SparkSession) -> DataFrame:
-    """Entity, tier and benefit; six rows."""
-    rows = [
-        (entity, tier, benefit)
-        for entity, tiers in TIER_BENEFITS.items()
-        for tier, benefit in tiers.items()
-    ]
-    return literal_table(spark, rows, "entity", "tier", "benefit")
-
-
 def benefit_of(entity: str, tier: Column) -> Column:
     """The benefit of a tier for ``customer`` or ``seller``."""
     pairs = [F.lit(text) for pair in TIER_BENEFITS[entity].items() for text in pair]

@@ -6,27 +6,42 @@ from collections.abc import Callable, Sequence
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
-
-from martlens.model import NORMALIZED, PERIOD_COLUMNS, STAR, Mart, Normalized, conform
+from pyspark.sql import functions as F
+
+from martlens.model import (
+    NORMALIZED,
+    PERIOD_COLUMNS,
+    STAR,
+    STAR_KEYS,
+    Mart,
+    Normalized,
+    checked,
+    conform,
+    duplicate_keys,
+)
 from martlens.session import once_per_session, shared_folder
 
 
 def load_mart(spark: SparkSession, path: str, partitioned: bool = True) -> Mart:
-    """A mart saved by ``save_mart``; facts are partitioned by year and month."""
+    """A mart saved by ``save_mart``; facts are partitioned by year and month.
+
+    A table with a missing or mistyped column raises when it is first used.
+    """
 
     def load(name: str) -> DataFrame:
         fact = partitioned and name.startswith("fakta_")
         ddl = f"{STAR[name]}, {PERIOD_COLUMNS}" if fact else STAR[name]
-        return spark.read.schema(ddl).parquet(f"{path.rstrip('/')}/{name}")
+        return checked(spark.read.parquet(f"{path.rstrip('/')}/{name}"), ddl, name)
 
     return Mart({name: (lambda name=name: load(name)) for name in STAR})
 
 
 def load_normalized(spark: SparkSession, path: str) -> Normalized:
-    """Normalized tables stored as one parquet folder each."""
+    """Normalized tables stored as one parquet folder each, checked like a mart's."""
 
     def load(name: str) -> DataFrame:
-        return spark.read.schema(NORMALIZED[name]).parquet(f"{path.rstrip('/')}/{name}")
+        table = spark.read.parquet(f"{path.rstrip('/')}/{name}")
+        return checked(table, NORMALIZED[name], name)
 
     return Normalized({name: (lambda name=name: load(name)) for name in NORMALIZED})
 
@@ -75,8 +90,23 @@ def write_partitioned(df: DataFrame, path: str, by: Sequence[str] = ()) -> None:
     df.write.mode("overwrite").partitionBy(*by).parquet(path)
 
 
+def check_keys(mart: Mart) -> None:
+    """Raise, with names, if a dimension has a NULL key or one for several rows."""
+    for name, key in STAR_KEYS.items():
+        dim = mart.table(name)
+        wrong = [row[0] for row in duplicate_keys(dim, key).orderBy(key).limit(5).collect()]
+        if not dim.where(F.col(key).isNull()).isEmpty():
+            wrong.append(None)
+        if wrong:
+            raise ValueError(f"{name}: {key} {wrong} stand for several rows or none")
+
+
 def save_mart(mart: Mart, path: str) -> None:
-    """Write every table of a mart under ``path``, facts by year and month."""
+    """Write every table of a mart under ``path``, facts by year and month.
+
+    The dimensions' keys are checked first.
+    """
+    check_keys(mart)
     for name in STAR:
         df = mart.table(name)
         by = [c for c in ("tahun", "bulan") if name.startswith("fakta_") and c in df.columns]

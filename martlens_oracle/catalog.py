@@ -57,7 +57,7 @@ def _model_tables() -> dict[str, str]:
     sql["mart_fakta_penjualan"] = with_tables(
         "SELECT * REPLACE (CAST(total_harga AS DOUBLE) AS total_harga) FROM fakta_penjualan"
     )
-    for name in ["orders", "products", "product_category_translation", "customers",
+    for name in ["orders", "products", "customers",
                  "order_payments", "order_reviews"]:
         sql[f"norm_{name}"] = with_tables(f"SELECT * FROM n_{name}")
     sql["norm_order_items"] = with_tables(
@@ -101,13 +101,16 @@ def _figures() -> dict[str, str]:
         "kpi_revenue_all": _REVENUE_ALL,
         "kpi_revenue_y": _REVENUE_YEAR,
         "kpi_avg_delivery": _AVG_DELIVERY,
-        "kpi_sheet_ym": f"""
+    }
+    sql |= {
+        f"kpi_sheet_{p}": f"""
             SELECT (SELECT count(*) FROM dim_pelanggan) AS total_customers,
                    (SELECT count(*) FROM dim_produk) AS total_products,
                    (SELECT count(DISTINCT kategori) FROM dim_produk) AS total_categories,
-                   ({_items_sold('ym')}) AS items_sold,
-                   ({_REVENUE_YEAR}) AS total_revenue,
-                   ({_AVG_DELIVERY}) AS avg_delivery_days""",
+                   ({_items_sold(p)}) AS items_sold,
+                   ({_REVENUE_YEAR if 'y' in p else _REVENUE_ALL}) AS total_revenue,
+                   ({_AVG_DELIVERY}) AS avg_delivery_days"""
+        for p in PERIODS
     }
     sql |= {f"kpi_items_sold_{p}": _items_sold(p) for p in PERIODS}
     return {name: with_tables(text) for name, text in sql.items()}
@@ -166,7 +169,7 @@ def _distributions() -> dict[str, str]:
             FROM ({_series_points(p)}) ORDER BY pos"""
         for p in PERIODS
     }
-    for p in ("all", "y", "ym"):
+    for p in PERIODS:
         sql[f"payment_methods_{p}"] = _payment(p)
         sql[f"delivery_by_state_{p}"] = _delivery_state(p)
         sql[f"delivery_by_category_{p}"] = _delivery_category(p)
@@ -256,7 +259,7 @@ def _document(dim: str, kind: str) -> str:
 
 def _boards() -> dict[str, str]:
     sql = {"top_states": _TOP_STATES}
-    for p in ("all", "y", "ym"):
+    for p in PERIODS:
         sql[f"top_products_{p}"] = _top_items(p, "produk_id")
         sql[f"top_categories_{p}"] = _top_items(p, "kategori_inggris")
         by_qty = _ranked(_sellers(p), "total_qty", 10, "LAST")
@@ -441,7 +444,7 @@ def _insights() -> dict[str, str]:
     sql["insight_state"] = with_text(
         _insight_concentration(_TOP_STATES, "total_customers"), "state"
     )
-    for p in ("all", "y", "ym"):
+    for p in PERIODS:
         customers = _ranked(_customers(p), "total_revenue", 10)
         by_qty = _ranked(_sellers(p), "total_qty", 10, "LAST")
         by_revenue = _ranked(_sellers(p), "total_revenue", 10, "LAST")

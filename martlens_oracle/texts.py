@@ -1,22 +1,45 @@
-"""The text columns of insights in SQL.
-
-Takes the sentences from the library, so that wording is written once; choosing
-and filling them is done here again, in SQL.
-"""
+"""The text columns of insights in SQL, worked out apart from the library."""
 
 from __future__ import annotations
 
-from string import Formatter
-
-from martlens.plans.messages import SENTENCES
-
-_POINTS = {"all": "periode", "y": "bulan", "m": "tahun", "ym": "hari"}
-_PERIODS = {
-    "all": "semua periode",
-    "y": "tahun 1997",
-    "m": "bulan Maret",
-    "ym": "Maret 1997",
-}
+_PERIODS = {"all": "all dates", "y": "1997", "m": "month 03", "ym": "1997-03"}
+
+_EXTREME_DAYS = [("max_label", ""), ("max_days", "2"), ("min_label", ""), ("min_days", "2")]
+_EXTREME_RATINGS = [
+    ("best_label", ""), ("best_rating", "2"), ("worst_label", ""), ("worst_rating", "2"),
+]
+_LEAD = [("top_label", ""), ("top_qty", "0"), ("top_share", "1"), ("second_label", ""), ("gap", "1")]
+
+# Kind: subject, figures with their style, signals, action column, what it is about.
+_PARTS = {
+    "revenue": (
+        "revenue",
+        [("last_label", ""), ("last_revenue", "m"), ("max_label", ""), ("max_revenue", "m"),
+         ("min_label", ""), ("min_revenue", "m")],
+        ["trend", "outlook"], "status", "min_label",
+    ),
+    "payment": (
+        "payment methods",
+        [("top_method", ""), ("top_count", "0"), ("top_share", "1"), ("second_method", "")],
+        ["status"], "status", "top_method",
+    ),
+    "top_items_product": ("products", _LEAD, ["race"], "status", "top_label"),
+    "top_items_category": ("categories", _LEAD, ["race"], "status", "top_label"),
+    "state": ("states", [("top_label", ""), ("top_value", "0"), ("gap", "1")], ["race"],
+              "action", "top_label"),
+    "customer": ("customers", [("top_label", ""), ("top_value", "m"), ("gap", "1")], ["race"],
+                 "action", "top_label"),
+    "seller_qty": ("sellers by quantity", [("top_label", ""), ("top_value", "0"), ("gap", "1")],
+                   ["race"], "action", "top_label"),
+    "seller_revenue": ("sellers by revenue", [("top_label", ""), ("top_value", "m"), ("gap", "1")],
+                       ["race"], "action", "top_label"),
+    "delivery_state": ("delivery by state", _EXTREME_DAYS, ["status"], "action", "max_label"),
+    "delivery_category": (
+        "delivery by category", _EXTREME_DAYS, ["status"], "action", "max_label"),
+    "rating_year": ("rating by year", [("mean_rating", "2"), *_EXTREME_RATINGS], ["status"],
+                    "action", "worst_label"),
+    "rating_month": ("rating by month", _EXTREME_RATINGS, ["status"], "action", "worst_label"),
+}
 
 
 def _whole(value: str) -> str:
@@ -30,67 +53,20 @@ def _comma(value: str, places: int) -> str:
     return f"{_whole(f'{scaled} // {unit}')} || ',' || {cents}"
 
 
-def _money(value: str) -> str:
-    return f"'R$ ' || {_comma(value, 2)}"
-
-
-def _point(value: str, places: int) -> str:
-    return f"printf('%.{places}f', {value})"
-
-
-_READINGS = {
-    "revenue": {f"{end}_money": _money(f"{end}_revenue") for end in ("last", "max", "min")},
-    "payment": {"top_count": _whole("top_count"), "top_share": _comma("top_share", 1)},
-    "top_items": {
-        "top_qty": _whole("top_qty"),
-        "top_share": _comma("top_share", 1),
-        "gap": _comma("gap", 1),
-    },
-    "state": {"top_value": _whole("top_value"), "gap": _point("gap", 1)},
-    "delivery_state": {"max_days": _comma("max_days", 2), "min_days": _comma("min_days", 2)},
-    "delivery_category": {"max_days": _comma("max_days", 2), "min_days": _comma("min_days", 2)},
-    "rating_year": {
-        name: _point(name, 2) for name in ("best_rating", "worst_rating", "mean_rating")
-    },
-    "rating_month": {name: _point(name, 2) for name in ("best_rating", "worst_rating")},
-    "customer": {"top_value": _money("top_value"), "gap": _point("gap", 1)},
-    "seller_qty": {"top_value": _whole("top_value"), "gap": _point("gap", 1)},
-    "seller_revenue": {"top_value": _money("top_value"), "gap": _point("gap", 1)},
-}
-
-
-def _quoted(text: str) -> str:
-    return "'" + text.replace("'", "''") + "'"
-
-
-def _filled(template: str, fields: dict[str, str]) -> str:
-    parts = ["''"]
-    for text, name, _, _ in Formatter().parse(template):
-        parts.append(_quoted(text))
-        if name is not None:
-            parts.append(f"coalesce(CAST({fields.get(name, name)} AS VARCHAR), '-')")
-    return " || ".join(parts)
+def _figure(name: str, style: str) -> str:
+    shown = {"": f"CAST({name} AS VARCHAR)", "0": _whole(name), "m": f"'R$ ' || {_comma(name, 2)}"}
+    text = shown[style] if style in shown else _comma(name, int(style))
+    return f"'{name.replace('_', ' ')} ' || {text}"
 
 
 def with_text(sql: str, kind: str, period: str = "all", by: str = "") -> str:
     """Wrap the SQL of an insight so that it also returns its texts."""
-    fields = {
-        "period": _quoted(_PERIODS[period]),
-        "point": _quoted(_POINTS[period]),
-        "kind": "'kategori'" if by == "category" else "'produk'",
-        "metric": "'revenue'" if by == "revenue" else "'jumlah terjual'",
-    } | _READINGS.get(f"{kind}_{by}", _READINGS.get(kind, {}))
-    texts = []
-    for column in ("now_text", "next_text", "action_text"):
-        cases = [
-            f"CASE {sentence.code} "
-            + " ".join(
-                f"WHEN {_quoted(value)} THEN {_filled(template, fields)}"
-                for value, template in sentence.by_value.items()
-            )
-            + " ELSE '' END"
-            for sentence in SENTENCES[kind]
-            if sentence.column == column
-        ]
-        texts.append(f"{' || '.join(cases)} AS {column}")
-    return f"SELECT *, {', '.join(texts)} FROM ({sql})"
+    subject, figures, signals, action, about = _PARTS[f"{kind}_{by}" if by else kind]
+    head = f"'{subject}, {_PERIODS[period]}: '"
+    now = ", ".join(["status", *(_figure(*figure) for figure in figures)])
+    after = ", ".join(f"'{signal} ' || {signal}" for signal in signals)
+    return f"""SELECT *, {head} || concat_ws('; ', {now}) AS now_text,
+        CASE WHEN status = 'none' THEN '' ELSE {head} || concat_ws('; ', {after}) END AS next_text,
+        CASE WHEN status = 'none' THEN ''
+             ELSE concat_ws(': ', {action}, CAST({about} AS VARCHAR)) END AS action_text
+        FROM ({sql})"""

@@ -23,7 +23,7 @@ def test_nothing_to_show(spark, sf0001, name, period):
         return
     (row,) = rows
     assert row.status == "none"
-    assert row.now_text.startswith("Belum ada")
+    assert row.now_text.endswith(": none")
     assert row.next_text == row.action_text == ""
 
 

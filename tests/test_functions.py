@@ -5,13 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from martlens import functions as fx
-from martlens.functions.templates import chosen, filled, readable
 from martlens.sources.literals import (
     benefit_of,
-    month_name,
     month_names,
     state_coords,
-    tier_benefits,
 )
 
 
@@ -90,19 +87,7 @@ def test_ratio_class(spark, ratio, name):
     assert value(spark, fx.ratio_class(F.lit(ratio), [(0.33, "b"), (0.66, "a")], "c")) == name
 
 
-def test_templates(spark):
-    fields = {"x": readable(F.lit(3)), "gone": readable(F.lit(None).cast("string"))}
-    assert value(spark, filled("{x} of {gone}, 5%", fields)) == "3 of -, 5%"
-    assert value(spark, chosen(F.lit("b"), {"a": "A", "b": "B{x}"}, fields)) == "B3"
-    assert value(spark, chosen(F.lit("b"), {"a": "{x}", "b": "{x}"}, fields)) == "3"
-    assert value(spark, chosen(F.lit(None).cast("string"), {"a": "A"}, fields)) == ""
-    assert value(spark, chosen(F.lit("a"), {}, fields)) == ""
-
-
 def test_literals(spark):
     assert state_coords(spark).count() == 27
     assert month_names(spark).count() == 12
-    assert tier_benefits(spark).count() == 6
-    assert value(spark, month_name(F.lit(12))) == "Desember"
-    assert value(spark, month_name(F.lit(13))) is None
     assert value(spark, benefit_of("seller", F.lit("Gold"))).startswith("Fee 0%")

@@ -92,7 +92,7 @@ def test_revenue_trend(make_mart, revenues, status, trend, outlook, max_label, m
 
 def test_revenue_text_names_the_filter(make_mart):
     row = insights.insight_revenue(sales(make_mart, "1234.5", "2"), Period(2024, 1)).first()
-    assert "Januari 2024" in row.now_text
+    assert "revenue, 2024-01: multi" in row.now_text
     assert "R$ 1.234,50" in row.now_text
 
 

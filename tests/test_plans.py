@@ -7,6 +7,7 @@ from conftest import plan_of
 from oracle_check import connect, difference
 
 from martlens.registry import all_queries
+from martlens_oracle import oracle_queries
 from martlens.model import NORMALIZED, STAR, tables
 from martlens.plans import leaders
 from martlens.plans.build import open_mart, open_normalized, order_lines
@@ -99,7 +100,7 @@ def test_a_large_dimension_meets_sums_per_key(spark, sf0001, nothing_is_small):
 )
 def test_large_dimensions_give_the_same_rows(spark, sf001, nothing_is_small, name):
     difference_found = difference(
-        QUERIES[name](spark, sf001), connect(sf001), contract.oracle_sql()[name]
+        QUERIES[name](spark, sf001), connect(sf001), oracle_queries()[name]
     )
     assert difference_found is None
 

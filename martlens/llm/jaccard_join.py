@@ -18,6 +18,7 @@ verified on the whole shingle sets.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,13 +32,14 @@ from martlens.llm.membership import bloom_of
 from martlens.llm.store import ship, written
 from martlens.llm.words import parity_sketch, set_hash, shingle_sets
 
-SKETCH_BITS = 1024
+#: A sketch has about as many bits as its set has shingles, within these bounds.
+LEAST_BITS, MOST_BITS = 256, 1 << 15
 COUNTERS = 1 << 20
 _CHUNK = 1 << 12
 #: Largest region joined outright, pivots per cut, and how often a region is cut.
 LEAF, PIVOTS, DEPTH = 256, 8, 4
-#: Untested pairs that a set proposes in the first round; eight times more in each later one.
-PROPOSALS = 8
+#: Untested pairs that a set proposes besides a region's forest, round by round.
+PROPOSALS = (1, 16, 256, 1 << 30)
 _SCAN = (
     "kind int, doc_id long, text_hash long, n long, h long, sketch binary, chunk int, bits binary"
 )
@@ -55,7 +57,7 @@ def _scan(docs: DataFrame, width: int) -> DataFrame:
             texts = (text.as_py() for text in batch.column(1))
             known = zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)
             for names, found in zip(known, shingle_sets(texts, width), strict=True):
-                sketch = parity_sketch(found, SKETCH_BITS) if len(found) else None
+                sketch = parity_sketch(found, _bits(len(found))) if len(found) else None
                 rows.append((0, *names, len(found), set_hash(found)[0], sketch, None, None))
                 held.append(found & np.uint64(COUNTERS - 1))
                 size += len(found)
@@ -72,6 +74,18 @@ def _scan(docs: DataFrame, width: int) -> DataFrame:
     return given.mapInArrow(read, _SCAN)
 
 
+def _bits(n: int) -> int:
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (n - 1).bit_length()))
+
+
+def _folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    """Rows of sketches at a smaller width: the same sets' sketches of fewer bits."""
+    while sketch.shape[-1] > words:
+        half = sketch.shape[-1] // 2
+        sketch = sketch[..., :half] ^ sketch[..., half:]
+    return sketch
+
+
 def _levels(counts: np.ndarray) -> np.ndarray:
     """Counts on a logarithmic scale of one byte; 0 is rarest."""
     return np.minimum(255, np.floor(8 * np.log2(1.0 + counts))).astype(np.uint8)
@@ -132,8 +146,28 @@ def _propose(rows: DataFrame, percent: int, most: int) -> DataFrame:
         region, side, h, n, comp = (
             table.column(name).to_numpy() for name in ("region", "side", "h", "n", "comp")
         )
-        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64)
-        sketch = sketch.reshape(len(h), SKETCH_BITS // 64)
+        data = table.column("sketch").to_pylist()
+        words = np.array([len(x) // 8 for x in data])
+        # Sizes of a pair are alike, so its sketches are of one width or of neighbouring ones.
+        at_width: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for width in np.unique(words).tolist():
+            place, parts = np.full(len(h), -1), []
+            for wide in (width, 2 * width):
+                rows = np.flatnonzero(words == wide)
+                place[rows] = np.arange(len(rows)) + sum(map(len, parts))
+                joined = np.frombuffer(b"".join(data[i] for i in rows), np.uint64)
+                parts.append(_folded(joined.reshape(len(rows), wide), width))
+            at_width[width] = place, np.concatenate(parts)
+
+        def distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            out, least = np.zeros(len(x), np.int64), np.minimum(words[x], words[y])
+            for width in np.unique(least).tolist():
+                these = least == width
+                place, sketch = at_width[width]
+                differ = sketch[place[x[these]]] ^ sketch[place[y[these]]]
+                out[these] = np.bitwise_count(differ).sum(axis=1, dtype=np.int64)
+            return out
+
         tested = [set(x or ()) for x in table.column("tested").to_pylist()]
         found = []
         at, gap = np.arange(len(h) - 1), 1
@@ -145,9 +179,9 @@ def _propose(rows: DataFrame, percent: int, most: int) -> DataFrame:
             low, high = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
             meet &= (comp[a] != comp[b]) & (100 * low >= percent * high)
             a, b = a[meet], b[meet]
-            for i in range(0, len(a), 1 << 16):
-                x, y = a[i : i + (1 << 16)], b[i : i + (1 << 16)]
-                differ = np.bitwise_count(sketch[x] ^ sketch[y]).sum(axis=1, dtype=np.int64)
+            for i in range(0, len(a), 1 << 13):
+                x, y = a[i : i + (1 << 13)], b[i : i + (1 << 13)]
+                differ = distance(x, y)
                 ok = differ * (100 + percent) <= (n[x] + n[y]) * (100 - percent)
                 found.append(np.stack([x[ok], y[ok], differ[ok]]))
             gap += 1
@@ -197,29 +231,30 @@ def _cut(rows: DataFrame, percent: int) -> DataFrame:
         F.min_by("sketch", F.struct(F.xxhash64("region", "h"), "h")).alias("sketch")
     )
     pivots = salted.groupBy("region").agg(F.sort_array(F.collect_list("sketch")).alias("pivots"))
+    widths = rows.groupBy("region").agg((F.min(F.length("sketch")) / 8).cast("int").alias("words"))
+    pivots = pivots.join(widths, "region")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             table = pa.Table.from_batches([batch])
-            sizes = table.column("n").to_numpy()
+            sizes, words = table.column("n").to_numpy(), table.column("words").to_pylist()
             out, cells = [], []
             for i, (sketch, pivots) in enumerate(
                 zip(table.column("sketch").to_pylist(), table.column("pivots").to_pylist(), strict=True)
             ):
-                own = np.frombuffer(sketch, np.uint64)
-                far = np.array(
-                    [int(np.bitwise_count(own ^ np.frombuffer(p, np.uint64)).sum()) for p in pivots]
-                )
+                own = _folded(np.frombuffer(sketch, np.uint64), words[i])
+                others = [_folded(np.frombuffer(p, np.uint64), words[i]) for p in pivots]
+                far = np.array([int(np.bitwise_count(own ^ other).sum()) for other in others])
                 window = 2 * ((100 - percent) * int(sizes[i]) // percent)
                 for cell in np.flatnonzero(far <= far.min() + window).tolist():
                     out.append(i)
                     cells.append(cell)
-            taken = table.drop_columns(["pivots"]).take(pa.array(out, pa.int64()))
+            taken = table.drop_columns(["pivots", "words"]).take(pa.array(out, pa.int64()))
             taken = taken.add_column(1, "cell", pa.array(cells, pa.int32()))
             yield from taken.combine_chunks().to_batches()
 
     columns = ["region", "side", "h", "n", "comp", "sketch", "tested"]
-    cut = rows.join(pivots, "region").select(*columns, "pivots").mapInArrow(read, schema)
+    cut = rows.join(pivots, "region").select(*columns, "pivots", "words").mapInArrow(read, schema)
     return cut.withColumn("region", F.xxhash64("region", "cell")).drop("cell")
 
 
@@ -273,7 +308,7 @@ def _small_regions(rows: DataFrame, percent: int, leaf: int) -> DataFrame:
 def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
     """(a, b, linked) on the whole shingle sets of the pairs' documents."""
     schema = "doc_id long, h long, found array<long>"
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
+    ends = pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).distinct()
     wanted = ends.join(classes.select("h", "rep"), "h").select("rep")
     hashed = docs.sparkSession.sparkContext.broadcast(bloom_of(wanted.select(F.xxhash64("rep").alias("k"))))
 
@@ -318,14 +353,21 @@ def _united(docs: DataFrame, width: int, percent: int, leaf: int) -> tuple[DataF
     rarest = written(_rarest(docs, width, percent, spark.sparkContext.broadcast(levels)), "rarest")
     met = rarest.groupBy("sig").agg(F.min("h").alias("low"), F.max("h").alias("high"))
     members = rarest.join(met.where("low <> high").select("sig"), "sig").distinct()
-    members = members.select(F.col("sig").alias("region"), "h", "n")
-    members = written(members, "members")
+    # Sets that can be linked are of one class of sizes or of neighbouring ones.
+    size_class = F.floor(F.log(F.col("n").cast("double")) / math.log(1.0001 * 100 / percent))
+    members = written(members, "members").withColumn(
+        "class", F.explode(F.array(size_class, size_class + 1))
+    )
+    members = members.select(F.xxhash64("sig", "class").alias("region"), "h", "n")
+    met = members.groupBy("region").agg(F.min("h").alias("low"), F.max("h").alias("high"))
+    members = members.join(met.where("low <> high").select("region"), "region")
+    members = written(members, "sized-members")
     sketches = sets.join(members.select("h").distinct(), "h", "left_semi")
     sketches = written(sketches.groupBy("h").agg(F.min("sketch").alias("sketch")), "sketches")
 
     tested = spark.createDataFrame([], "a long, b long, linked boolean")
     roots = spark.createDataFrame([], "node long, root long")
-    most = PROPOSALS
+    turn = 0
     while True:
         labelled = members.join(roots, F.col("h") == F.col("node"), "left").withColumn(
             "comp", F.coalesce("root", "h")
@@ -337,13 +379,14 @@ def _united(docs: DataFrame, width: int, percent: int, leaf: int) -> tuple[DataF
         known = both.groupBy("h").agg(F.collect_list("other").alias("tested"))
         rows = rows.join(known, "h", "left").withColumn("side", F.lit(0))
         rows = rows.select("region", "side", "h", "n", "comp", "sketch", "tested")
+        most = PROPOSALS[min(turn, len(PROPOSALS) - 1)]
         pairs = written(_propose(_small_regions(rows, percent, leaf), percent, most), "proposed")
         if pairs.isEmpty():
             break
         now = written(_verify(pairs, docs, classes, width, percent), "verified")
         tested = tested.unionByName(now)
         roots = components(tested.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
-        most *= 8
+        turn += 1
     named = classes.join(roots, F.col("h") == F.col("node"), "left").withColumn(
         "root", F.coalesce("root", "h")
     )

@@ -9,7 +9,9 @@ is cut by pivots: each set goes to the Voronoi cell of its nearest pivot, and
 also to every cell whose pivot is farther by no more than twice the largest
 distance of a link, which by the triangle inequality brings both ends of each
 link into one cell. Cells are cut again in the same way until they are small
-or no longer shrink; what does not shrink is joined block against block.
+or no longer shrink; what does not shrink is joined block against block. Before that, every set is verified against the nearest
+of its regions' pivots only, which unites most groups of copies; a region whose
+sets are all united has nothing left to join.
 
 Distances inside regions are those of parity sketches. They never exceed the
 sets' symmetric difference, so no link is lost; the pairs that pass are
@@ -38,12 +40,17 @@ COUNTERS = 1 << 20
 _CHUNK = 1 << 12
 #: Largest region joined outright, pivots per cut, and how often a region is cut.
 LEAF, PIVOTS, DEPTH = 256, 8, 4
+#: Rounds in which a set meets only its nearest pivot.
+PIVOT_ROUNDS = 1
+#: Sets that a task remembers, so as to pass copies over.
+_SEEN = 1 << 16
 #: Untested pairs that a set proposes besides a region's forest, round by round.
 PROPOSALS = (1, 16, 256, 1 << 30)
 _SCAN = (
     "kind int, doc_id long, text_hash long, n long, h long, sketch binary, chunk int, bits binary"
 )
-_ROW = "region long, side int, h long, n long, comp long, sketch binary, tested array<long>"
+_ROW = "home long, region long, side int, h long, n long, comp long"
+_FOUND = "a long, b long, home long"
 
 
 def _scan(docs: DataFrame, width: int) -> DataFrame:
@@ -58,7 +65,7 @@ def _scan(docs: DataFrame, width: int) -> DataFrame:
             known = zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)
             for names, found in zip(known, shingle_sets(texts, width), strict=True):
                 sketch = parity_sketch(found, _bits(len(found))) if len(found) else None
-                rows.append((0, *names, len(found), set_hash(found)[0], sketch, None, None))
+                rows.append((0, *names, len(found), set_hash(found), sketch, None, None))
                 held.append(found & np.uint64(COUNTERS - 1))
                 size += len(found)
                 if size > 1 << 20:
@@ -92,32 +99,98 @@ def _levels(counts: np.ndarray) -> np.ndarray:
 
 
 def _rarest(docs: DataFrame, width: int, percent: int, levels) -> DataFrame:
-    """(sig, h, n): each set's rarest shingles, enough to meet every linked set.
+    """(sig, h): each set's rarest shingles, enough to meet every linked set.
 
-    Rarity only orders shingles; any order gives the same links.
+    Rarity only orders shingles; any order gives the same links. A task passes
+    over copies that it remembers; the rest of the copies go later.
     """
-    schema = "sig long, h long, n long"
+    schema = "sig long, h long"
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = levels.value
+        seen: set[int] = set()
         for batch in batches:
-            sigs, hashes, sizes = [], [], []
+            sigs, hashes = [], []
             for found in shingle_sets((text.as_py() for text in batch.column(0)), width):
                 n = len(found)
-                if n:
+                if n and (h := set_hash(found)) not in seen:
+                    if len(seen) >= _SEEN:
+                        seen.clear()
+                    seen.add(h)
                     level = rank[(found & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.uint64)
                     order = np.argsort((level << np.uint64(56)) | (found >> np.uint64(8)), kind="stable")
                     least = n - (percent * n + 99) // 100 + 1
                     sigs.append(found[order[:least]].view(np.int64))
-                    hashes.append(np.full(least, set_hash(found)[0]))
-                    sizes.append(np.full(least, n))
+                    hashes.append(np.full(least, h))
             if sigs:
-                columns = [pa.array(np.concatenate(x)) for x in (sigs, hashes, sizes)]
-                yield pa.RecordBatch.from_arrays(columns, ["sig", "h", "n"])
+                columns = [pa.array(np.concatenate(x)) for x in (sigs, hashes)]
+                yield pa.RecordBatch.from_arrays(columns, ["sig", "h"])
 
     return docs.select("text").mapInArrow(read, schema)
 
 
+def _regions(rarest: DataFrame, classes: DataFrame, percent: int, leaf: int) -> DataFrame:
+    """(region, h, n): the sets that share a rare shingle.
+
+    A region of more than ``leaf`` sets is split by size: sets that can be
+    linked are of one class of sizes or of neighbouring ones.
+    """
+    met = rarest.groupBy("sig").agg(
+        F.min("h").alias("low"), F.max("h").alias("high"), F.count(F.lit(1)).alias("size")
+    )
+    met = written(met.where("low <> high").select("sig", "size"), "met")
+    members = rarest.join(met, "sig").distinct().join(classes.select("h", "n"), "h")
+    size_class = F.floor(F.log(F.col("n").cast("double")) / math.log(1.0001 * 100 / percent))
+    regions = F.when(F.col("size") <= leaf, F.array(F.xxhash64("sig"))).otherwise(
+        F.array(F.xxhash64("sig", size_class), F.xxhash64("sig", size_class + 1))
+    )
+    return written(members.select(F.explode(regions).alias("region"), "h", "n"), "members")
+
+
+def _to_pivots(rows: DataFrame, sketches: DataFrame, tested: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Pairs (a, b) of a set and the nearest pivot of its regions that it may be linked to.
+
+    A region's pivot is the set that comes first by a hash, another one each
+    turn; regions of the same copies so have the same pivot. Pivots of the
+    set's own component and pairs tested before are left out.
+    """
+    schema = "h long, p long, far double"
+    first = F.struct(F.xxhash64("h", F.lit(turn)).alias("x"), "h")
+    pivot = F.struct(F.col("h").alias("p"), F.col("n").alias("pn"), F.col("comp").alias("pcomp"))
+    pivots = rows.groupBy("region").agg(F.min_by(pivot, first).alias("pivot")).select("region", "pivot.*")
+    met = rows.join(pivots, "region").where("comp <> pcomp")
+    met = met.where(100 * F.least("n", "pn") >= percent * F.greatest("n", "pn"))
+    met = met.select("h", "p", "n", "pn").distinct()
+    met = met.withColumns({"a": F.least("h", "p"), "b": F.greatest("h", "p")})
+    met = met.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    met = met.join(sketches, "h").join(
+        sketches.select(F.col("h").alias("p"), F.col("sketch").alias("ps")), "p"
+    )
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+            sizes = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            shapes: dict[tuple[int, int], list[int]] = {}
+            for i, key in enumerate(zip(map(len, x), map(len, y), strict=True)):
+                shapes.setdefault(key, []).append(i)
+            differ = np.zeros(len(x), np.int64)
+            for (wide_x, wide_y), rows in shapes.items():
+                words = min(wide_x, wide_y) // 8
+                left = np.frombuffer(b"".join(x[i] for i in rows), np.uint64).reshape(len(rows), -1)
+                right = np.frombuffer(b"".join(y[i] for i in rows), np.uint64).reshape(len(rows), -1)
+                bits = _folded(left, words) ^ _folded(right, words)
+                differ[rows] = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+            ok = np.flatnonzero(differ * (100 + percent) <= sizes * (100 - percent))
+            if len(ok):
+                ids = [batch.column(i).take(pa.array(ok)) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*ids, pa.array(differ[ok] / sizes[ok])], ["h", "p", "far"])
+
+    near = met.select("h", "p", "n", "pn", "sketch", "ps").mapInArrow(measure, schema)
+    nearest = near.groupBy("h").agg(F.min_by("p", F.struct("far", "p")).alias("p"))
+    return nearest.select(F.least("h", "p").alias("a"), F.greatest("h", "p").alias("b")).distinct()
+
+
 def _rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
     """Whole regions from batches sorted by region; only the last one is carried on."""
     carried: pa.Table | None = None
@@ -133,18 +206,22 @@ def _rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray
         yield carried
 
 
-def _propose(rows: DataFrame, percent: int, most: int) -> DataFrame:
+def _propose(
+    rows: DataFrame, sketches: DataFrame, tested: DataFrame, percent: int, most: int
+) -> DataFrame:
     """Untested pairs (a, b) of a region, of different components, that may be linked.
 
+    Rows without a pair name, as ``home``, the regions whose pairs are not all proposed.
+
     Every two rows of a region meet. A pair passes if the sizes and sketches
     allow a link. Of the pairs that pass, the nearest ones are proposed: those
     that join two components not yet joined by a nearer proposal, and up to
     ``most`` more per set.
     """
 
-    def near(table: pa.Table) -> list[tuple[int, int]]:
-        region, side, h, n, comp = (
-            table.column(name).to_numpy() for name in ("region", "side", "h", "n", "comp")
+    def near(table: pa.Table) -> list[tuple[int | None, int | None, int | None]]:
+        home, region, side, h, n, comp = (
+            table.column(name).to_numpy() for name in ("home", "region", "side", "h", "n", "comp")
         )
         data = table.column("sketch").to_pylist()
         words = np.array([len(x) // 8 for x in data])
@@ -197,7 +274,8 @@ def _propose(rows: DataFrame, percent: int, most: int) -> DataFrame:
             return node
 
         used = np.zeros(len(h), np.int64)
-        out = []
+        out: list[tuple[int | None, int | None, int | None]] = []
+        unfinished: set[int] = set()
         for i, j in zip(x[order].tolist(), y[order].tolist(), strict=True):
             if h[j] in tested[i]:
                 continue
@@ -205,21 +283,26 @@ def _propose(rows: DataFrame, percent: int, most: int) -> DataFrame:
             if p != q:
                 root[p] = q
             elif used[i] >= most or used[j] >= most:
+                unfinished.add(int(home[i]))
                 continue
             used[i] += 1
             used[j] += 1
-            out.append((int(min(h[i], h[j])), int(max(h[i], h[j]))))
-        return out
+            out.append((int(min(h[i], h[j])), int(max(h[i], h[j])), None))
+        return out + [(None, None, x) for x in unfinished]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _rows_of(batches):
-            yield from batches_of("a long, b long", near(table))
+            yield from batches_of(_FOUND, near(table))
 
+    both = tested.where("not linked").select(F.col("a").alias("h"), F.col("b").alias("other"))
+    both = both.unionByName(both.select(F.col("other").alias("h"), F.col("h").alias("other")))
+    known = both.groupBy("h").agg(F.collect_list("other").alias("tested"))
+    rows = rows.join(sketches, "h").join(known, "h", "left")
     dealt = rows.repartition("region").sortWithinPartitions("region", "side", "h")
-    return dealt.mapInArrow(read, "a long, b long").distinct()
+    return dealt.mapInArrow(read, _FOUND).distinct()
 
 
-def _cut(rows: DataFrame, percent: int) -> DataFrame:
+def _cut(rows: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Voronoi cells of regions' pivots, with the boundary sets of other cells.
 
     A region's pivots are the sets that come first by a hash, one per class of
@@ -227,6 +310,8 @@ def _cut(rows: DataFrame, percent: int) -> DataFrame:
     one in at most ``(100 - p) / p * n``.
     """
     schema = _ROW.replace("region long", "region long, cell int")
+    columns = rows.columns
+    rows = rows.join(sketches, "h")
     salted = rows.groupBy("region", F.pmod(F.xxhash64("h"), F.lit(PIVOTS)).alias("class")).agg(
         F.min_by("sketch", F.struct(F.xxhash64("region", "h"), "h")).alias("sketch")
     )
@@ -249,12 +334,12 @@ def _cut(rows: DataFrame, percent: int) -> DataFrame:
                 for cell in np.flatnonzero(far <= far.min() + window).tolist():
                     out.append(i)
                     cells.append(cell)
-            taken = table.drop_columns(["pivots", "words"]).take(pa.array(out, pa.int64()))
-            taken = taken.add_column(1, "cell", pa.array(cells, pa.int32()))
+            taken = table.select(columns).take(pa.array(out, pa.int64()))
+            taken = taken.add_column(2, "cell", pa.array(cells, pa.int32()))
             yield from taken.combine_chunks().to_batches()
 
-    columns = ["region", "side", "h", "n", "comp", "sketch", "tested"]
-    cut = rows.join(pivots, "region").select(*columns, "pivots", "words").mapInArrow(read, schema)
+    cut = rows.join(pivots, "region").select(*columns, "sketch", "pivots", "words")
+    cut = cut.mapInArrow(read, schema)
     return cut.withColumn("region", F.xxhash64("region", "cell")).drop("cell")
 
 
@@ -265,7 +350,7 @@ def _sizes(rows: DataFrame) -> DataFrame:
     return stats.where("low <> high").select("region", "size")
 
 
-def _small_regions(rows: DataFrame, percent: int, leaf: int) -> DataFrame:
+def _small_regions(rows: DataFrame, sketches: DataFrame, percent: int, leaf: int) -> DataFrame:
     """The same meetings in regions of about ``leaf`` rows."""
     done: list[DataFrame] = []
     parent = None
@@ -278,7 +363,7 @@ def _small_regions(rows: DataFrame, percent: int, leaf: int) -> DataFrame:
         if most is None or (parent is not None and most > 0.9 * parent):
             break
         parent = most
-        rows = _cut(rows.drop("size"), percent)
+        rows = _cut(rows.drop("size"), sketches, percent)
     else:
         rows = rows.drop("size").join(_sizes(rows), "region")
     if "size" in rows.columns:
@@ -320,7 +405,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, p
             texts = (text.as_py() for text in batch.column(1))
             for doc, found in zip(batch.column(0).to_pylist(), shingle_sets(texts, width), strict=True):
                 if len(found):
-                    rows.append((doc, set_hash(found)[0], found.view(np.int64)))
+                    rows.append((doc, set_hash(found), found.view(np.int64)))
             yield from batches_of(schema, rows)
 
     sets = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("k")).mapInArrow(read, schema)
@@ -337,10 +422,12 @@ def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, p
 def _united(docs: DataFrame, width: int, percent: int, leaf: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, text_hash, n, h) of every document, and (h, rep, root) of every set.
 
-    Each round proposes pairs, verifies them and unites their components;
+    Each round proposes pairs, first those of sets and their nearest pivots
+    and then those of whole regions, verifies them and unites their components;
     regions whose sets are all in one component are finished. A pair found
-    not to be linked is not proposed again, and rounds end when no region has
-    an untested pair that could be linked, so the components are exact.
+    not to be linked is not proposed again, a region all of whose pairs that
+    could be linked have been proposed is done, and rounds end when every
+    region is, so the components are exact.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -351,17 +438,7 @@ def _united(docs: DataFrame, width: int, percent: int, leaf: int) -> tuple[DataF
     sets = scanned.where("kind = 0 and n > 0")
     classes = written(sets.groupBy("h", "n").agg(F.min("doc_id").alias("rep")), "classes")
     rarest = written(_rarest(docs, width, percent, spark.sparkContext.broadcast(levels)), "rarest")
-    met = rarest.groupBy("sig").agg(F.min("h").alias("low"), F.max("h").alias("high"))
-    members = rarest.join(met.where("low <> high").select("sig"), "sig").distinct()
-    # Sets that can be linked are of one class of sizes or of neighbouring ones.
-    size_class = F.floor(F.log(F.col("n").cast("double")) / math.log(1.0001 * 100 / percent))
-    members = written(members, "members").withColumn(
-        "class", F.explode(F.array(size_class, size_class + 1))
-    )
-    members = members.select(F.xxhash64("sig", "class").alias("region"), "h", "n")
-    met = members.groupBy("region").agg(F.min("h").alias("low"), F.max("h").alias("high"))
-    members = members.join(met.where("low <> high").select("region"), "region")
-    members = written(members, "sized-members")
+    members = _regions(rarest, classes, percent, leaf)
     sketches = sets.join(members.select("h").distinct(), "h", "left_semi")
     sketches = written(sketches.groupBy("h").agg(F.min("sketch").alias("sketch")), "sketches")
 
@@ -372,21 +449,26 @@ def _united(docs: DataFrame, width: int, percent: int, leaf: int) -> tuple[DataF
         labelled = members.join(roots, F.col("h") == F.col("node"), "left").withColumn(
             "comp", F.coalesce("root", "h")
         )
-        open_regions = _sizes(labelled).select("region")
-        rows = labelled.join(open_regions, "region").join(sketches, "h")
-        both = tested.where("not linked").select(F.col("a").alias("h"), F.col("b").alias("other"))
-        both = both.unionByName(both.select(F.col("other").alias("h"), F.col("h").alias("other")))
-        known = both.groupBy("h").agg(F.collect_list("other").alias("tested"))
-        rows = rows.join(known, "h", "left").withColumn("side", F.lit(0))
-        rows = rows.select("region", "side", "h", "n", "comp", "sketch", "tested")
-        most = PROPOSALS[min(turn, len(PROPOSALS) - 1)]
-        pairs = written(_propose(_small_regions(rows, percent, leaf), percent, most), "proposed")
-        if pairs.isEmpty():
-            break
-        now = written(_verify(pairs, docs, classes, width, percent), "verified")
-        tested = tested.unionByName(now)
-        roots = components(tested.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
+        rows = labelled.join(_sizes(labelled).select("region"), "region")
+        rows = rows.select("region", "h", "n", "comp")
+        if turn < PIVOT_ROUNDS:
+            pairs = written(_to_pivots(rows, sketches, tested, percent, turn), "nearest-pivots")
+        else:
+            rows = rows.select(F.col("region").alias("home"), "region", F.lit(0).alias("side"), "h", "n", "comp")
+            most = PROPOSALS[min(turn - PIVOT_ROUNDS, len(PROPOSALS) - 1)]
+            cells = _small_regions(rows, sketches, percent, leaf)
+            found = written(_propose(cells, sketches, tested, percent, most), "proposed")
+            pairs = found.where("home is null").select("a", "b")
+            unfinished = found.where("home is not null").select(F.col("home").alias("region")).distinct()
+            members = members.join(unfinished, "region")
         turn += 1
+        if not pairs.isEmpty():
+            now = written(_verify(pairs, docs, classes, width, percent), "verified")
+            tested = tested.unionByName(now)
+            links = tested.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+            roots = components(links)
+        if turn > PIVOT_ROUNDS and members.isEmpty():
+            break
     named = classes.join(roots, F.col("h") == F.col("node"), "left").withColumn(
         "root", F.coalesce("root", "h")
     )

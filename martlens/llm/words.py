@@ -115,7 +115,8 @@ def shingle_sets(texts: Iterable[str | None], width: int) -> Iterator[np.ndarray
             runs = mix(sums)
             for low, high in zip(bounds[:-1], bounds[1:], strict=True):
                 if high - low >= width:
-                    yield np.unique(runs[low : high - width + 1])
+                    found = np.sort(runs[low : high - width + 1])
+                    yield found[np.diff(found, prepend=~found[:1]) != 0]
                 elif high > low:
                     short = (words[low:high] * factors[: high - low]).sum(dtype=U64)
                     yield mix(np.array([short + U64(high - low)], U64))
@@ -123,13 +124,11 @@ def shingle_sets(texts: Iterable[str | None], width: int) -> Iterator[np.ndarray
                     yield np.zeros(0, U64)
 
 
-def set_hash(shingles: np.ndarray) -> tuple[int, int]:
-    """Two independent 64-bit hashes of a set, as signed integers."""
+def set_hash(shingles: np.ndarray) -> int:
+    """A 64-bit hash of a set, as a signed integer."""
     with np.errstate(over="ignore"):
-        first = mix(shingles + U64(1)).sum(dtype=U64) + U64(len(shingles))
-        second = mix(shingles ^ U64(0xD6E8FEB86659FD93)).sum(dtype=U64)
-    both = mix(np.array([first, second], U64)).view(np.int64)
-    return int(both[0]), int(both[1])
+        total = mix(shingles + U64(1)).sum(dtype=U64) + U64(len(shingles))
+    return int(mix(np.array([total], U64)).view(np.int64)[0])
 
 
 def parity_sketch(shingles: np.ndarray, bits: int) -> bytes:

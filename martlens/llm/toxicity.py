@@ -14,8 +14,8 @@ from martlens.llm.linear import fit_sparse, sigmoid
 from martlens.llm.store import ship, written
 from martlens.llm.words import U64, mix
 
-#: n-gram lengths in bytes, hash classes of n-grams, most features kept, least |z| of one.
-ORDERS, CLASSES, FEATURES, LEAST_Z = (4, 5, 6), 1 << 20, 4096, 4.0
+#: n-gram lengths in bytes, hash classes of n-grams, features (more where more rows are learnt from).
+ORDERS, CLASSES, FEATURES = (4, 5, 6), 1 << 20, 4096
 #: Labelled rows that are learnt from, of each label.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 6_000, 10_000
 _PART = 1 << 19
@@ -108,7 +108,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Classifier:
     Each n-gram's ratio is the logarithm of its smoothed rates in toxic and
     clean documents; the most telling n-grams (by the ratio over its standard
     error) are the features, a document's value being the ratio where it has
-    the n-gram. A logistic regression weighs them. Without rows of both labels
+    the n-gram. They are ranked only, with no least error ratio, and are
+    ``FEATURES`` or as many as the rows learnt from, if those are more. A
+    logistic regression weighs them. Without rows of both labels
     there are no features, and every score is the share of toxic rows (0.5
     where there is no row).
     """
@@ -133,28 +135,28 @@ def train(docs: DataFrame, labels: DataFrame) -> Classifier:
     best = (
         _counts(rows)
         .select("class", ratio.alias("ratio"), F.abs(ratio / error).alias("z"))
-        .where(F.col("z") >= LEAST_Z)
         .orderBy(F.desc("z"), "class")
-        .limit(FEATURES)
+        .limit(max(FEATURES, n_toxic + n_clean))
         .collect()
     )
     classes = np.array([row["class"] for row in best], np.int64)
     ratios = np.array([row["ratio"] for row in best])
     table = np.zeros(CLASSES, bool)
     table[classes] = True
-    place = {c: i for i, c in enumerate(classes.tolist())}
+    place = np.zeros(CLASSES, np.int32)
+    place[classes] = np.arange(len(classes))
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = n_grams((t.as_py() for t in batch.column(0)), shared.value)
-            out = [(label, f.astype(np.int64)) for label, f in zip(batch.column(1).to_pylist(), found, strict=True)]
-            yield from batches_of("toxic int, found array<long>", out)
+            out = [(label, f.tobytes()) for label, f in zip(batch.column(1).to_pylist(), found, strict=True)]
+            yield from batches_of("toxic int, found binary", out)
 
-    sample = rows.mapInArrow(mark, "toxic int, found array<long>").collect()
-    sample.sort(key=lambda row: (row[0], row[1]))
-    lengths = np.array([len(row[1]) for row in sample])
-    columns = np.array([place[c] for row in sample for c in row[1]], np.int64)
+    sample = sorted((row[0], bytes(row[1])) for row in rows.mapInArrow(mark, "toxic int, found binary").collect())
+    held = [np.frombuffer(row[1], np.int32) for row in sample]
+    lengths = np.array([len(found) for found in held])
+    columns = place[np.concatenate(held)]
     targets = np.array([row[0] for row in sample], float)
     entry_rows = np.repeat(np.arange(len(sample)), lengths)
     weights, offset = fit_sparse(entry_rows, columns, ratios[columns], targets, len(classes), 1e-5, 400)

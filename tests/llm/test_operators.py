@@ -231,6 +231,15 @@ def test_classifiers(spark, sf001, awkward, nothing):
     assert without_toxic(awkward, few).columns == awkward.columns
 
 
+def test_few_toxic_rows_are_learnt_from(spark, sf0001):
+    docs, labels = Q.table(spark, sf0001, "documents"), Q.table(spark, sf0001, "labels")
+    marked = score_toxicity(docs, labels).join(labels, "doc_id").where("toxic is not null").collect()
+    held = [r for r in marked if r.held_out and r.toxic]
+    assert held and all(r.predicted for r in held)
+    assert not [r for r in marked if r.predicted and not r.toxic]
+    assert len({r.score for r in marked}) > len(marked) / 2
+
+
 def test_contained_items(spark, sf001, awkward, nothing):
     sql = Q.oracle_sql()["op4_contamination"]
     assert difference(Q.op4_contamination(spark, sf001), connect(sf001), sql) is None

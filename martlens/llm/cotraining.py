@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,9 +16,8 @@ from martlens.llm.store import ship, written
 from martlens.llm.toxicity import held_out
 from martlens.llm.words import U64, mix, word_hashes
 
-#: Labelled rows learnt from (per label), unlabelled rows shared by the views, rounds,
-#: pseudo-labels a view gives per round and label, and how sure it must be.
-SAMPLE, POOL, ROUNDS, GIVEN, SURE = 6_000, 10_000, 5, 300, 0.95
+#: Labelled rows learnt from (per label), rounds, and how sure a view must be to give a label.
+SAMPLE, ROUNDS, SURE = 6_000, 5, 0.95
 #: Hash classes of each metadata value.
 _VALUES = 32
 _PART = 1 << 20
@@ -77,69 +76,155 @@ def _value_class(value: object, seed: int) -> int:
 
 
 def metadata(lang: str | None, source: str | None, n_chars: int | None) -> np.ndarray:
-    """Metadata view: language and source by hash class, and size by range."""
-    out = np.zeros(2 * _VALUES + 17)
-    out[_value_class(lang, 1)] = 1
-    out[_VALUES + _value_class(source, 2)] = 1
-    out[2 * _VALUES + (16 if n_chars is None or n_chars < 0 else min(15, int(np.log2(n_chars + 1))))] = 1
-    return out
+    """Metadata view: the columns that are 1, of language and source by hash class, and size by range."""
+    size = 16 if n_chars is None or n_chars < 0 else min(15, int(np.log2(n_chars + 1)))
+    places = _value_class(lang, 1), _VALUES + _value_class(source, 2), 2 * _VALUES + size
+    return np.array(places, np.int32)
+
+
+def _both(x: list[bytes], m: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Columns of both views, from the bytes of their features."""
+    known = np.zeros((len(m), 2 * _VALUES + 17))
+    np.put_along_axis(known, np.frombuffer(b"".join(m), np.int32).reshape(-1, 3), 1.0, axis=1)
+    return np.frombuffer(b"".join(x)).reshape(len(x), len(content(""))), known
 
 
 @dataclass
 class View:
-    """One view's classifier over standardised columns."""
+    """One view's classifier over standardised columns; the last weight is the offset."""
 
     mean: np.ndarray
     scale: np.ndarray
     weights: np.ndarray
 
-    @staticmethod
-    def fit(x: np.ndarray, y: np.ndarray) -> View:
-        mean, scale = x.mean(axis=0), x.std(axis=0)
-        scale[scale < 1e-9] = 1.0
-        return View(mean, scale, fit_dense(np.clip((x - mean) / scale, -8, 8), y))
+    def columns(self, x: np.ndarray) -> np.ndarray:
+        return np.column_stack([np.clip((x - self.mean) / self.scale, -8, 8), np.ones(len(x))])
 
     def logit(self, x: np.ndarray) -> np.ndarray:
-        z = np.clip((x - self.mean) / self.scale, -8, 8)
-        return z @ self.weights[:-1] + self.weights[-1]
+        return self.columns(x) @ self.weights
+
+
+def _sums(z: np.ndarray, y: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Number of rows, gradient and curvature of the log loss, as one array that adds up."""
+    p = sigmoid(z @ weights)
+    return np.concatenate([[len(z)], z.T @ (p - y), ((z * (p * (1 - p))[:, None]).T @ z).ravel()])
+
+
+def _moments(x: np.ndarray) -> np.ndarray:
+    return np.concatenate([[len(x)], x.sum(axis=0), (x * x).sum(axis=0)])
 
 
-def _sure(logits: np.ndarray, free: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Free pool rows that a view is surest of, and the labels it gives them."""
-    limit = np.log(SURE / (1 - SURE))
-    high = np.flatnonzero(free & (logits >= limit))
-    low = np.flatnonzero(free & (logits <= -limit))
-    high = high[np.argsort(-logits[high], kind="stable")][:GIVEN]
-    low = low[np.argsort(logits[low], kind="stable")][:GIVEN]
-    return np.concatenate([high, low]), np.repeat([1.0, 0.0], [len(high), len(low)])
+def _given(z: np.ndarray, past: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that a view was sure of in any past round, and the label it gave in the first such round."""
+    logits = z @ np.column_stack(past)
+    sure = np.abs(logits) >= np.log(SURE / (1 - SURE))
+    at = np.flatnonzero(sure.any(axis=1))
+    return at, (logits[at, sure[at].argmax(axis=1)] > 0).astype(float)
+
+
+def _over(pool: DataFrame, one: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray | float:
+    """The sum of ``one`` over the batches of ``pool`` (x, m); each task sends one array of fixed size."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                part = one(*_both(*(batch.column(i).to_pylist() for i in (0, 1))))
+                total = part if total is None else total + part
+        yield from batches_of("sums binary", [] if total is None else [(total.tobytes(),)])
+
+    return sum(np.frombuffer(bytes(row[0])) for row in pool.mapInArrow(add, "sums binary").collect())
 
 
 def co_train(
-    text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray
-) -> tuple[View, View]:
-    """Blum and Mitchell's rounds: each view's surest labels join the other's rows."""
-    views = [View.fit(text, y), View.fit(meta, y)]
-    if not len(pool_text):
-        return views[0], views[1]
-    pools = [pool_text, pool_meta]
-    rows = [[text], [meta]]
-    marks = [[y], [y]]
-    free = [np.ones(len(pool_text), bool) for _ in views]
+    text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool: DataFrame
+) -> tuple[list[View], list[int]]:
+    """Blum and Mitchell's rounds, and how many rows of ``pool`` (x, m) each view got from the other.
+
+    In each round each view labels all rows of the pool that it is sure of, and
+    the other view learns from them; a label once given stays. The pool is not
+    collected: its tasks work the labels out from the weights of past rounds,
+    and send sums for Newton's steps of both views.
+    """
+    own = [text, meta]
+    widths = [x.shape[1] for x in own]
+    first = 2 * widths[0] + 1
+    moments = np.concatenate([_moments(x) for x in own])
+    moments = moments + _over(pool, lambda *both: np.concatenate([_moments(x) for x in both]))
+    views = []
+    for part, width in zip((moments[:first], moments[first:]), widths, strict=True):
+        mean = part[1 : width + 1] / part[0]
+        spread = part[width + 1 :] / part[0] - mean * mean
+        scale = np.sqrt(np.where(spread > 1e-12 * (1 + mean * mean), spread, 1.0))
+        views.append(View(mean, scale, np.zeros(width + 1)))
+    own = [view.columns(x) for view, x in zip(views, own, strict=True)]
+    cut = 1 + (widths[0] + 1) * (widths[0] + 2)
+    past: list[list[np.ndarray]] = [[], []]
+
+    def fit() -> list[int]:
+        counts = [0, 0]
+        for _ in range(25):
+            weights = [view.weights for view in views]
+
+            def taught(*both: np.ndarray) -> np.ndarray:
+                z = [view.columns(x) for view, x in zip(views, both, strict=True)]
+                found = [_given(z[1 - i], past[1 - i]) for i in (0, 1)]
+                return np.concatenate([_sums(z[i][at], label, weights[i]) for i, (at, label) in enumerate(found)])
+
+            more = _over(pool, taught) if past[0] else 0.0
+            more = more + np.zeros(cut + 1 + (widths[1] + 1) * (widths[1] + 2))
+            change = 0.0
+            for i, part in enumerate((more[:cut], more[cut:])):
+                counts[i] = int(part[0])
+                total, width = part + _sums(own[i], y, weights[i]), widths[i] + 1
+                ridge = np.full(width, 1e-3)
+                ridge[-1] = 1e-9
+                curve = total[1 + width :].reshape(width, width) / total[0] + np.diag(ridge + 1e-9)
+                step = np.linalg.solve(curve, total[1 : 1 + width] / total[0] + ridge * weights[i])
+                size = np.abs(step).max()
+                views[i] = View(views[i].mean, views[i].scale, weights[i] - step * min(1.0, 5 / max(size, 1e-12)))
+                change = max(change, size)
+            if change < 1e-4:  # the next step would be of the order of its square
+                break
+        return counts
+
+    given = fit()
     for _ in range(ROUNDS):
-        given = [_sure(view.logit(pool), free[1 - i]) for i, (view, pool) in enumerate(zip(views, pools, strict=True))]
-        if not any(len(at) for at, _ in given):
+        for i, view in enumerate(views):
+            past[i].append(view.weights)
+        before, given = given, fit()
+        if given == before:
             break
-        for i, (at, label) in enumerate(given):
-            other = 1 - i
-            rows[other].append(pools[other][at])
-            marks[other].append(label)
-            free[other][at] = False
-        views = [View.fit(np.concatenate(r), np.concatenate(m)) for r, m in zip(rows, marks, strict=True)]
-    return views[0], views[1]
+    return views, given
+
 
+def _features(docs: DataFrame) -> DataFrame:
+    """(doc_id, held_out, x, m): both views' features of every document."""
+    schema = "doc_id long, held_out boolean, x binary, m binary"
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = [content(t.as_py()).tobytes() for t in batch.column(2)]
+            columns = [batch.column(i).to_pylist() for i in (3, 4, 5)]
+            m = [metadata(*row).tobytes() for row in zip(*columns, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(x, pa.binary()), pa.array(m, pa.binary())],
+                ["doc_id", "held_out", "x", "m"],
+            )
 
-def _samples(docs: DataFrame, labels: DataFrame) -> list[tuple]:
-    """(content, metadata, label or null, kept for calibration) of bounded samples."""
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        held_out(F.col("doc_id")).alias("held_out"),
+        "text",
+        F.col("lang").cast("string").alias("lang"),
+        F.col("source").cast("string").alias("source"),
+        F.col("n_chars").cast("long").alias("n_chars"),
+    )
+    return rows.mapInArrow(read, schema)
+
+
+def _samples(features: DataFrame, labels: DataFrame) -> tuple[list[tuple], DataFrame]:
+    """A bounded sample (x, m, label, kept for calibration) of labelled rows, and all unlabelled ones (x, m)."""
     marked = labels.where("quality in (0, 1) and doc_id is not null")
     marked = marked.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     order = F.xxhash64(F.col("doc_id").cast("string"))
@@ -147,36 +232,21 @@ def _samples(docs: DataFrame, labels: DataFrame) -> list[tuple]:
     picked = [
         learnt.where(F.col("quality") == label).orderBy(order, "doc_id").limit(SAMPLE) for label in (0, 1)
     ]
-    free = docs.select("doc_id").where("doc_id is not null").distinct()
-    free = free.where(~held_out(F.col("doc_id"))).join(marked, "doc_id", "left_anti")
-    picked.append(free.orderBy(order, "doc_id").limit(POOL).withColumn("quality", F.lit(None).cast("int")))
-    ids = picked[0].unionByName(picked[1]).unionByName(picked[2])
+    ids = picked[0].unionByName(picked[1])
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
-    rows = docs.join(F.broadcast(ids), "doc_id").select(
-        "text", "lang", "source", "n_chars", "quality", fold.cast("int").alias("fold")
-    )
-    schema = "x binary, m binary, quality int, fold int"
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            columns = [batch.column(i).to_pylist() for i in range(1, 6)]
-            for value, lang, source, size, label, part in zip(batch.column(0), *columns, strict=True):
-                out.append(
-                    (content(value.as_py()).tobytes(), metadata(lang, source, size).tobytes(), label, part)
-                )
-            yield from batches_of(schema, out)
-
-    found = written(rows.mapInArrow(read, schema), "quality-sample").collect()
-    return sorted((bytes(r[0]), bytes(r[1]), -1 if r[2] is None else r[2], r[3]) for r in found)
+    rows = features.join(F.broadcast(ids), "doc_id").select("x", "m", "quality", fold.cast("int").alias("fold"))
+    sample = sorted((bytes(r[0]), bytes(r[1]), r[2], r[3]) for r in rows.collect())
+    free = features.where("not held_out").join(marked.select("doc_id"), "doc_id", "left_anti")
+    return sample, written(free.select("x", "m"), "quality-pool")
 
 
 def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Score all documents (doc_id, text, lang, source, n_chars) by ``labels`` (doc_id, quality).
 
     Labelled rows that are not held out are learnt from, at most ``SAMPLE`` of
-    each label, and at most ``POOL`` unlabelled documents carry pseudo-labels
-    between the views; the samples come first by a hash of the id. A fifth of
+    each label, those that come first by a hash of the id. All unlabelled
+    documents that are not held out, those without an id included, carry
+    pseudo-labels between the views. A fifth of
     the labelled rows only calibrates: each view's logit by its own scale, and
     both in one combination.
 
@@ -188,21 +258,21 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     ship(spark)
-    sample = _samples(docs, labels)
-    x = np.stack([np.frombuffer(r[0]) for r in sample]) if sample else np.zeros((0, len(content(""))))
-    m = np.stack([np.frombuffer(r[1]) for r in sample]) if sample else np.zeros((0, 2 * _VALUES + 17))
+    every = written(_features(docs), "quality-features")
+    sample, pool = _samples(every, labels)
+    x, m = _both([r[0] for r in sample], [r[1] for r in sample])
     y = np.array([r[2] for r in sample], float)
     fold = np.array([r[3] for r in sample], bool)
-    learnt, pool, check = (y >= 0) & ~fold, y < 0, (y >= 0) & fold
+    learnt, check = ~fold, fold
     if len(set(y[learnt])) < 2:
         share = (y == 1).sum() + 0.5
-        share /= (y >= 0).sum() + 1.0
+        share /= len(y) + 1.0
         constant = float(np.log(share / (1 - share)))
         parts = None
     else:
-        views = co_train(x[learnt], m[learnt], y[learnt], x[pool], m[pool])
+        views, _ = co_train(x[learnt], m[learnt], y[learnt], pool)
         if len(set(y[check])) < 2:
-            check = y >= 0
+            check = np.ones(len(y), bool)
         logits = np.column_stack([views[0].logit(x[check]), views[1].logit(m[check])])
         logits = np.clip(logits, -30, 30)
         own = [fit_dense(logits[:, i : i + 1], y[check], 1e-4) for i in (0, 1)]
@@ -219,13 +289,11 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
             n = batch.num_rows
             if not n:
                 continue
-            columns = [batch.column(i).to_pylist() for i in (3, 4, 5)]
             if model.value is None:
                 text = meta = both = np.full(n, constant)
             else:
                 views, own, join = model.value
-                features = np.stack([content(t.as_py()) for t in batch.column(2)])
-                known = np.stack([metadata(*row) for row in zip(*columns, strict=True)])
+                features, known = _both(*(batch.column(i).to_pylist() for i in (2, 3)))
                 text, meta = (
                     np.clip(view.logit(part), -30, 30) * scale[0] + scale[1]
                     for view, part, scale in zip(views, (features, known), own, strict=True)
@@ -242,12 +310,4 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 [part.split()[0] for part in schema.split(", ")],
             )
 
-    rows = docs.select(
-        "doc_id",
-        held_out(F.col("doc_id")).alias("held_out"),
-        "text",
-        F.col("lang").cast("string").alias("lang"),
-        F.col("source").cast("string").alias("source"),
-        F.col("n_chars").cast("long").alias("n_chars"),
-    )
-    return rows.mapInArrow(score, schema)
+    return every.mapInArrow(score, schema)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from martlens.llm import queries as Q
 from martlens.llm.contamination import contained_items, decontaminate
+from martlens.llm import cotraining
 from martlens.llm.cotraining import score_quality
 from martlens.llm.jaccard_join import jaccard_components, keep_one
 from martlens.llm.line_dedup import remove_shared_lines
@@ -240,6 +241,23 @@ def test_few_toxic_rows_are_learnt_from(spark, sf0001):
     assert len({r.score for r in marked}) > len(marked) / 2
 
 
+def test_all_unlabelled_documents_pass_between_the_views(spark):
+    texts = ["Plain words of every kind make up a good line here.", "|| ## || $$ || ## ||"]
+    docs = spark.range(4_000).selectExpr(
+        "id as doc_id", f"if(id % 2 = 0, '{texts[0]}', '{texts[1]}') as text", "'en' as lang",
+        "if(id % 2 = 0, 'a', 'c') as source", "50 as n_chars",
+    )
+    labels = labels_for(spark, [(i, 1 - i % 2, None) for i in range(200)])
+    every = cotraining._features(docs)
+    sample, pool = cotraining._samples(every, labels)
+    x, m = cotraining._both([r[0] for r in sample], [r[1] for r in sample])
+    want = every.where("not held_out and doc_id >= 200").count()
+    assert pool.count() == want > 3_000
+    assert cotraining.co_train(x, m, np.array([r[2] for r in sample], float), pool)[1] == [want, want]
+    scores = score_quality(docs, labels).collect()
+    assert len(scores) == 4_000 and all(r.predicted == 1 - r.doc_id % 2 for r in scores)
+
+
 def test_contained_items(spark, sf001, awkward, nothing):
     sql = Q.oracle_sql()["op4_contamination"]
     assert difference(Q.op4_contamination(spark, sf001), connect(sf001), sql) is None

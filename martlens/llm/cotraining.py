@@ -234,7 +234,8 @@ def _samples(features: DataFrame, labels: DataFrame) -> tuple[list[tuple], DataF
     ]
     ids = picked[0].unionByName(picked[1])
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
-    rows = features.join(F.broadcast(ids), "doc_id").select("x", "m", "quality", fold.cast("int").alias("fold"))
+    rows = features.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "quality").agg(F.min(F.struct("x", "m")).alias("f"))
+    rows = rows.select("f.x", "f.m", "quality", fold.cast("int").alias("fold"))
     sample = sorted((bytes(r[0]), bytes(r[1]), r[2], r[3]) for r in rows.collect())
     free = features.where("not held_out").join(marked.select("doc_id"), "doc_id", "left_anti")
     return sample, written(free.select("x", "m"), "quality-pool")
@@ -244,7 +245,8 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Score all documents (doc_id, text, lang, source, n_chars) by ``labels`` (doc_id, quality).
 
     Labelled rows that are not held out are learnt from, at most ``SAMPLE`` of
-    each label, those that come first by a hash of the id. All unlabelled
+    each label, those that come first by a hash of the id, and one row of
+    each id (the least by its features). All unlabelled
     documents that are not held out, those without an id included, carry
     pseudo-labels between the views. A fifth of
     the labelled rows only calibrates: each view's logit by its own scale, and

@@ -101,7 +101,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Classifier:
     """Learn from at most ``SAMPLE_TOXIC`` and ``SAMPLE_CLEAN`` labelled rows.
 
     The rows are those whose ids come first by a hash, so the sample is the
-    same wherever it is taken; with fewer rows all are used. Only ids that are
+    same wherever it is taken; with fewer rows all are used. Of rows that share
+    an id one is learnt from, the first by a hash of the text. Only ids that are
     not held out are learnt from, and of a label only 0 and 1. The sample's
     ids, a bounded number, are broadcast to fetch its texts.
 
@@ -123,6 +124,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Classifier:
         part = marked.where(F.col("toxic") == label).orderBy(order, "doc_id").limit(bound)
         picked = part if picked is None else picked.unionByName(part)
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    rows = rows.groupBy("doc_id").agg(
+        F.min_by("text", F.xxhash64("text")).alias("text"), F.max("toxic").cast("int").alias("toxic")
+    )
     rows = written(rows.select("text", "toxic").repartition(8), "toxicity-sample")
     n = {row[0]: row[1] for row in rows.groupBy("toxic").count().collect()}
     n_toxic, n_clean = n.get(1, 0), n.get(0, 0)

@@ -258,6 +258,18 @@ def test_all_unlabelled_documents_pass_between_the_views(spark):
     assert len(scores) == 4_000 and all(r.predicted == 1 - r.doc_id % 2 for r in scores)
 
 
+@pytest.mark.parametrize("score", [score_toxicity, score_quality])
+def test_a_repeated_id_is_learnt_from_once(spark, sf0001, score):
+    docs, labels = Q.table(spark, sf0001, "documents"), Q.table(spark, sf0001, "labels")
+    least = labels.where("toxic = 0 and quality = 0 and crc32(cast(cast(doc_id as string) as binary)) % 5 > 1")
+    copies = docs.join(least.orderBy("doc_id").limit(1), "doc_id", "left_semi").crossJoin(spark.range(60)).drop("id")
+    assert copies.count() == 60
+    once, often = (
+        {r.doc_id: r.score for r in score(d, labels).collect()} for d in (docs, docs.unionByName(copies))
+    )
+    assert all(abs(once[i] - often[i]) < 1e-6 for i in once)
+
+
 def test_contained_items(spark, sf001, awkward, nothing):
     sql = Q.oracle_sql()["op4_contamination"]
     assert difference(Q.op4_contamination(spark, sf001), connect(sf001), sql) is None

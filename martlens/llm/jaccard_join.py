@@ -488,7 +488,10 @@ def jaccard_components(
     shingles, no link, and its own id. Equal sets are one set with one
     representative. Rows of equal doc_id are joined like others; a null doc_id
     takes part, but names a component only if no other id is in it. No
-    documents, no rows. Other columns are not read.    """
+    documents, no rows. Other columns are not read. Only components are
+    computed: pairs inside a part that is already united are not verified, so
+    links and their number are not known.
+    """
     every, named = _united(docs, width, percent, leaf)
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = named.join(least, "root").select("h", "component_id")

@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 from martlens.llm.contamination import contained_items
 from martlens.llm.cotraining import score_quality
 from martlens.llm.jaccard_join import jaccard_components
+from martlens.llm.licences import scan_licences
 from martlens.llm.line_dedup import remove_shared_lines
 from martlens.llm.packing import pack
+from martlens.llm.prefix_trie import prefix_trie
 from martlens.llm.sharding import shard_documents
 from martlens.llm.token_files import read_index, write_tokens
 from martlens.llm.toxicity import score_toxicity
 from martlens.llm.url_filter import judge_urls
 from martlens.llm.vector_dedup import vector_links
+from martlens.llm.whitening import whiten
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -85,6 +88,24 @@ def op10_cotraining(spark: SparkSession, folder: str) -> DataFrame:
     return score_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op11_licences(spark: SparkSession, folder: str) -> DataFrame:
+    return scan_licences(table(spark, folder, "documents"))
+
+
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whiten(table(spark, folder, "embeddings"))
+
+
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Conversation c is based on c - c % 100, of which it takes crc32(c as text) % 6 turns."""
+    return prefix_trie(
+        table(spark, folder, "conversations"),
+        base=lambda c: c - c % 100,
+        head=lambda c: F.crc32(c.cast("string").cast("binary")) % 6,
+        max_head=5,
+    )
+
+
 _OP1_SQL = """
 WITH cut AS (
     SELECT page_id, CASE WHEN strpos(url, '://') > 0
@@ -158,6 +179,50 @@ SELECT doc_id, kept.text, CASE WHEN removed_lines > 0 THEN length(kept.text) ELS
 FROM kept JOIN documents USING (doc_id)
 """
 
+_OP13_SQL = """
+WITH t AS (
+    SELECT CAST(conv_id AS BIGINT) AS c, coalesce(role, '') AS r, coalesce(text, '') AS x,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos
+    FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+    SELECT c, list({'r': r, 'x': x} ORDER BY pos) AS turns FROM t GROUP BY c
+), heads AS (
+    SELECT c, turns, xor(list_reduce(
+        flatten(list_transform(string_split(CAST(c AS VARCHAR), ''),
+            lambda ch: list_concat([CAST(ord(ch) AS BIGINT)], list_transform(range(8), lambda i: -1)))),
+        lambda a, b: CASE WHEN b >= 0 THEN xor(a, b)
+            WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END,
+        CAST(4294967295 AS BIGINT)), CAST(4294967295 AS BIGINT)) % 6 AS h
+    FROM own
+), rebuilt AS (
+    SELECT a.c, CASE WHEN b.c IS NULL THEN a.turns[a.h + 1:]
+        ELSE list_concat(b.turns[1:a.h], a.turns[a.h + 1:]) END AS turns
+    FROM heads a LEFT JOIN own b ON b.c = a.c - a.c % 100
+), prefixes AS (
+    SELECT c, len(turns) AS n, unnest(list_transform(range(0, len(turns) + 1),
+        lambda d: {'depth': d, 'path': turns[1:d]})) AS p
+    FROM rebuilt
+), nodes AS (
+    SELECT p.depth AS depth, p.path AS path, min(c) AS conv_id, count(*) AS n_convs,
+        string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE n = p.depth) AS ends,
+        count(*) FILTER (WHERE n > p.depth) = 0 AS childless
+    FROM prefixes GROUP BY p.depth, p.path
+), above AS (
+    SELECT path[1:k] AS path, CAST(sum(saved) AS BIGINT) AS saved_tokens,
+        count(*) FILTER (WHERE childless) AS n_leaves,
+        count(*) FILTER (WHERE depth = k + 1) AS n_children
+    FROM (
+        SELECT path, depth, childless, unnest(range(0, depth + 1)) AS k,
+            CASE WHEN depth > 0 THEN (n_convs - 1) * length(path[depth].x) ELSE 0 END AS saved
+        FROM nodes
+    ) GROUP BY path[1:k]
+)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n_children, n_leaves,
+    saved_tokens, sha256(coalesce(n.ends, '')) AS ends_sha256
+FROM nodes n JOIN above ON above.path = n.path
+    LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.path = n.path[1:n.depth - 1]
+"""
+
 
 def queries() -> dict[str, Query]:
     return {
@@ -171,6 +236,9 @@ def queries() -> dict[str, Query]:
         "op8_token_files": op8_token_files,
         "op9_line_dedup": op9_line_dedup,
         "op10_cotraining": op10_cotraining,
+        "op11_licences": op11_licences,
+        "op12_whitening": op12_whitening,
+        "op13_prefix_trie": op13_prefix_trie,
     }
 
 
@@ -179,4 +247,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_url_filter": _OP1_SQL,
         "op4_contamination": _OP4_SQL,
         "op9_line_dedup": _OP9_SQL,
+        "op13_prefix_trie": _OP13_SQL,
     }

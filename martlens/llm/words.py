@@ -46,11 +46,14 @@ _LETTERS = _letters()
 _POWERS = _powers(1 << 12)
 
 
-def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word of ``data`` and the byte at which it starts."""
+def word_hashes(data: bytes, blank: np.ndarray = _BLANK) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each word of ``data`` and the byte at which it starts.
+
+    ``blank`` marks the bytes between words.
+    """
     global _POWERS
     codes = np.frombuffer(data, np.uint8)
-    inside = ~_BLANK[codes]
+    inside = ~blank[codes]
     edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
     starts, ends = edges[::2], edges[1::2]
     if not len(starts):
@@ -65,12 +68,12 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
         return mix(sums + lengths.astype(U64)), starts
 
 
-def _segments(data: bytes) -> Iterator[bytes]:
+def _segments(data: bytes, blank: np.ndarray = _BLANK) -> Iterator[bytes]:
     """Parts of about a megabyte, cut at blanks, so that arrays stay small."""
     at = 0
     while len(data) - at > 2 * _BLOCK:
         cut = at + _BLOCK
-        while cut < len(data) and not _BLANK[data[cut]]:
+        while cut < len(data) and not blank[data[cut]]:
             cut += 1
         yield data[at:cut]
         at = cut

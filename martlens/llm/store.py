@@ -43,15 +43,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package's code to the executors, once per application."""
+    """Send the library's code to the executors, once per application."""
     context = spark.sparkContext
     if getattr(context, "_martlens_llm_shipped", False):
         return
-    here = Path(__file__).resolve().parent
+    library = Path(__file__).resolve().parents[1]
     target = Path(tempfile.mkdtemp(prefix="martlens-code-")) / "martlens_llm.zip"
     with zipfile.ZipFile(target, "w") as archive:
-        archive.write(here.parent / "__init__.py", "martlens/__init__.py")
-        for path in sorted(here.glob("*.py")):
-            archive.write(path, f"martlens/llm/{path.name}")
+        for path in sorted(library.rglob("*.py")):
+            archive.write(path, f"{library.name}/{path.relative_to(library)}")
     context.addPyFile(str(target))
     context._martlens_llm_shipped = True

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from martlens.llm.arrow import batches_of
-from martlens.llm.linear import fit_sparse, sigmoid
+from martlens.llm.linear import fit_marked, sigmoid
 from martlens.llm.store import ship, written
 from martlens.llm.words import U64, mix
 
@@ -147,23 +147,27 @@ def train(docs: DataFrame, labels: DataFrame) -> Classifier:
     ratios = np.array([row["ratio"] for row in best])
     table = np.zeros(CLASSES, bool)
     table[classes] = True
-    place = np.zeros(CLASSES, np.int32)
+    small = np.uint16 if len(classes) <= 1 << 16 else np.int32
+    place = np.zeros(CLASSES, small)
     place[classes] = np.arange(len(classes))
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    shared = docs.sparkSession.sparkContext.broadcast((table, place))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, place = shared.value
         for batch in batches:
-            found = n_grams((t.as_py() for t in batch.column(0)), shared.value)
-            out = [(label, f.tobytes()) for label, f in zip(batch.column(1).to_pylist(), found, strict=True)]
+            found = n_grams((t.as_py() for t in batch.column(0)), table)
+            labels = batch.column(1).to_pylist()
+            out = [(label, place[f].tobytes()) for label, f in zip(labels, found, strict=True)]
             yield from batches_of("toxic int, found binary", out)
 
-    sample = sorted((row[0], bytes(row[1])) for row in rows.mapInArrow(mark, "toxic int, found binary").collect())
-    held = [np.frombuffer(row[1], np.int32) for row in sample]
-    lengths = np.array([len(found) for found in held])
-    columns = place[np.concatenate(held)]
+    # One order of the rows, so that sums come out the same whatever task sent them.
+    marked_rows = rows.mapInArrow(mark, "toxic int, found binary")
+    sample = sorted((row[0], row[1]) for row in marked_rows.toLocalIterator())
     targets = np.array([row[0] for row in sample], float)
-    entry_rows = np.repeat(np.arange(len(sample)), lengths)
-    weights, offset = fit_sparse(entry_rows, columns, ratios[columns], targets, len(classes), 1e-5, 400)
+    lengths = np.array([len(row[1]) for row in sample]) // np.dtype(small).itemsize
+    columns = np.frombuffer(b"".join(row[1] for row in sample), small)
+    del sample
+    weights, offset = fit_marked(columns, lengths, ratios, targets, 1e-5, 400)
     return Classifier(classes, weights * ratios, offset)
 
 

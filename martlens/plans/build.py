@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,29 +12,58 @@ from pyspark.sql import functions as F
 from martlens.functions import elapsed_days
 from martlens.model import PERIOD_COLUMNS, STAR, Mart, Normalized, conform
 from martlens.operators.joins import translate_category
+from martlens.operators.period import DATE_KEY
 from martlens.session import once_per_session, shared_folder
+from martlens.sources.keys import (
+    CUSTOMERS,
+    METHODS,
+    PRODUCTS,
+    SELLERS,
+    HashedKeys,
+    KeyDictionary,
+    KeyForm,
+)
 from martlens.sources.raw import normalized_tables
 from martlens.sources.stored import written_once
 
-KeyRule = Callable[[Column], Column]
-
 _BY_PERIOD = ("tahun", "bulan")
+Keys = KeyDictionary | HashedKeys
 
 
-def surrogate_key(natural_id: Column) -> Column:
-    """Surrogate key of any id, worked out from the whole id.
+class _Keyed:
+    """Keys of one normalized model; each form's ids are learnt on first use."""
+
+    def __init__(self, n: Normalized, keys: Keys | None = None):
+        self._n, self._keys = n, keys
+        self._learnt: set[str] = set()
+
+    def _sources(self, form: KeyForm) -> list[DataFrame]:
+        # Facts too: an id that its dimension lacks must not get another's key.
+        n = self._n
+        return {
+            "pelanggan": lambda: [n.customers.select("customer_id"), n.orders.select("customer_id")],
+            "produk": lambda: [n.products.select("product_id"), n.order_items.select("product_id")],
+            "seller": lambda: [n.sellers.select("seller_id"), n.order_items.select("seller_id")],
+            "metode": lambda: [n.order_payments.select("payment_type")],
+        }[form.name]()
+
+    def add(self, df: DataFrame, form: KeyForm, natural_id: str, key: str) -> DataFrame:
+        """``df`` with ``key``; the natural id stays."""
+        if self._keys is None:
+            self._keys = _own_keys(df.sparkSession)
+        if form.name not in self._learnt:
+            self._keys.learn(form, *self._sources(form))
+            self._learnt.add(form.name)
+        return self._keys.keyed(df.withColumn("_id", F.col(natural_id)), form, "_id", key)
 
-    A capital letter and a number without leading zeros (``C42``) gives the
-    number; every other id gives a negative key, from a 63-bit hash of all of
-    it. So facts get their keys without joining a dimension, and only a NULL
-    id has a NULL key. Two ids of a dimension can meet in one key only if they
-    share a number behind different letters, or a hash; ``check_keys``, which
-    ``save_mart`` runs, raises then. Pass another rule for such ids.
-    """
-    number = F.regexp_extract(natural_id, "^[A-Z](0|[1-9][0-9]{0,17})$", 1)
-    hashed = -F.xxhash64(natural_id).bitwiseAND(F.lit((1 << 63) - 1)) - 1
-    own = F.when(number != "", F.nullif(number, F.lit("")).cast("long")).otherwise(hashed)
-    return F.when(natural_id.isNotNull(), own)
+
+def _own_keys(spark: SparkSession) -> Keys:
+    """A dictionary of this build's own; hashes where there is no folder for one."""
+    folder = shared_folder(spark)
+    if folder is None:
+        return HashedKeys()
+    application = spark.sparkContext.applicationId
+    return KeyDictionary(spark, f"{folder}/martlens-{application}/keys-{uuid4().hex}")
 
 
 def date_key(moment: Column) -> Column:
@@ -57,49 +88,36 @@ def dim_waktu(n: Normalized) -> DataFrame:
     )
 
 
-def dim_pelanggan(n: Normalized, key: KeyRule = surrogate_key) -> DataFrame:
-    customer = F.col("customer_id")
-    return n.customers.select(
-        key(customer).alias("pelanggan_key"),
-        customer.alias("pelanggan_id"),
+def dim_pelanggan(n: Normalized, keyed: _Keyed) -> DataFrame:
+    return keyed.add(n.customers, CUSTOMERS, "customer_id", "pelanggan_key").select(
+        "pelanggan_key",
+        F.col("customer_id").alias("pelanggan_id"),
         F.col("customer_state").alias("state"),
     )
 
 
-def dim_produk(n: Normalized, key: KeyRule = surrogate_key) -> DataFrame:
-    product = F.col("product_id")
+def dim_produk(n: Normalized, keyed: _Keyed) -> DataFrame:
     translated = translate_category(n.products, n.product_category_translation)
-    return translated.select(
-        key(product).alias("produk_key"),
-        product.alias("produk_id"),
+    return keyed.add(translated, PRODUCTS, "product_id", "produk_key").select(
+        "produk_key",
+        F.col("product_id").alias("produk_id"),
         F.col("product_category_name").alias("kategori"),
         F.col("product_category_name_english").alias("kategori_inggris"),
     )
 
 
-def dim_seller(n: Normalized, key: KeyRule = surrogate_key) -> DataFrame:
-    seller = F.col("seller_id")
-    return n.sellers.select(
-        key(seller).alias("seller_key"),
-        seller.alias("seller_id"),
+def dim_seller(n: Normalized, keyed: _Keyed) -> DataFrame:
+    return keyed.add(n.sellers, SELLERS, "seller_id", "seller_key").select(
+        "seller_key",
+        "seller_id",
         F.col("seller_state").alias("state"),
     )
 
 
-def _method_key(method: Column) -> Column:
-    """The whole number that a payment type starts with; else a hash, below zero."""
-    number = F.regexp_extract(method, "^([1-9][0-9]{0,8})-", 1)
-    hashed = (-F.xxhash64(method).bitwiseAND(F.lit((1 << 31) - 1)) - 1).cast("int")
-    own = F.when(number != "", F.nullif(number, F.lit("")).cast("int")).otherwise(hashed)
-    return F.when(method.isNotNull(), own)
-
-
-def dim_metode_pembayaran(n: Normalized) -> DataFrame:
-    method = F.col("payment_type")
-    return (
-        n.order_payments.select(method.alias("metode_pembayaran"))
-        .distinct()
-        .select(_method_key(F.col("metode_pembayaran")).alias("metode_key"), "metode_pembayaran")
+def dim_metode_pembayaran(n: Normalized, keyed: _Keyed) -> DataFrame:
+    methods = n.order_payments.select(F.col("payment_type").alias("metode_pembayaran")).distinct()
+    return keyed.add(methods, METHODS, "metode_pembayaran", "metode_key").select(
+        "metode_key", "metode_pembayaran"
     )
 
 
@@ -112,81 +130,81 @@ def _dated(moment: str) -> list[Column]:
     ]
 
 
-def order_lines(n: Normalized, key: KeyRule = surrogate_key) -> DataFrame:
+def order_lines(n: Normalized, keyed: _Keyed | None = None) -> DataFrame:
     """Each order item with the keys, date and delivery time of its order.
 
     The one large join of the build. It is on the order id, unique on the
     order side; adaptive execution splits the item side of an order that holds
     a large part of all items. Items without an order keep NULL keys.
     """
+    keyed = keyed or _Keyed(n)
     bought = F.col("order_purchase_timestamp")
-    order_side = n.orders.select(
+    bought_by = keyed.add(n.orders, CUSTOMERS, "customer_id", "pelanggan_key")
+    order_side = bought_by.select(
         "order_id",
         *_dated("order_purchase_timestamp"),
-        key(F.col("customer_id")).alias("pelanggan_key"),
+        "pelanggan_key",
         elapsed_days(bought, F.col("order_delivered_customer_date")).alias("durasi_pengiriman"),
     )
-    item_side = n.order_items.select(
-        "order_id",
-        key(F.col("product_id")).alias("produk_key"),
-        key(F.col("seller_id")).alias("seller_key"),
-        "quantity",
-        "price",
-    )
+    items = keyed.add(n.order_items, PRODUCTS, "product_id", "produk_key")
+    items = keyed.add(items, SELLERS, "seller_id", "seller_key")
+    item_side = items.select("order_id", "produk_key", "seller_key", "quantity", "price")
     return item_side.join(order_side, "order_id", "left").drop("order_id")
 
 
+def _fact(df: DataFrame, name: str) -> DataFrame:
+    """The declared columns, year and month, and what the date key is made of."""
+    return conform(df, f"{STAR[name]}, {PERIOD_COLUMNS}").withMetadata("waktu_id", DATE_KEY)
+
+
 def fakta_penjualan(lines: DataFrame, qty_mode: str = "quantity") -> DataFrame:
     """One row per order item; ``qty_mode='unit'`` counts every item as one."""
     sold = F.col("quantity") if qty_mode == "quantity" else F.lit(1)
-    return conform(
-        lines.withColumns({"jumlah": sold, "total_harga": F.col("price")}),
-        f"{STAR['fakta_penjualan']}, {PERIOD_COLUMNS}",
-    )
+    sales = lines.withColumns({"jumlah": sold, "total_harga": F.col("price")})
+    return _fact(sales, "fakta_penjualan")
 
 
 def fakta_pengiriman(lines: DataFrame) -> DataFrame:
     """One row per item of a delivered order."""
     delivered = lines.where(F.col("durasi_pengiriman").isNotNull())
-    return conform(delivered, f"{STAR['fakta_pengiriman']}, {PERIOD_COLUMNS}")
+    return _fact(delivered, "fakta_pengiriman")
 
 
-def fakta_pembayaran(n: Normalized) -> DataFrame:
+def fakta_pembayaran(n: Normalized, keyed: _Keyed) -> DataFrame:
     """One row per payment, dated by its order."""
-    paid = n.order_payments.select(
-        "order_id", _method_key(F.col("payment_type")).alias("metode_key")
-    )
+    methods = keyed.add(n.order_payments, METHODS, "payment_type", "metode_key")
     dated = n.orders.select("order_id", *_dated("order_purchase_timestamp"))
-    return conform(
-        paid.join(dated, "order_id", "left"), f"{STAR['fakta_pembayaran']}, {PERIOD_COLUMNS}"
-    )
+    paid = methods.select("order_id", "metode_key").join(dated, "order_id", "left")
+    return _fact(paid, "fakta_pembayaran")
 
 
 def fakta_review(n: Normalized) -> DataFrame:
     reviews = n.order_reviews.select(
         F.col("review_score").alias("skor_review"), *_dated("review_creation_date")
     )
-    return conform(reviews, f"{STAR['fakta_review']}, {PERIOD_COLUMNS}")
+    return _fact(reviews, "fakta_review")
 
 
-def build_mart(
-    n: Normalized, qty_mode: str = "quantity", key: KeyRule = surrogate_key
-) -> Mart:
-    """The whole star as lazy DataFrames over the normalized tables."""
-    lines = order_lines(n, key)
+def build_mart(n: Normalized, qty_mode: str = "quantity", keys: Keys | None = None) -> Mart:
+    """The whole star as lazy DataFrames over the normalized tables.
+
+    Pass a ``KeyDictionary`` in a folder that stays, and later builds keep the
+    keys of earlier ones; without it the keys are right within this mart only.
+    """
+    keyed = _Keyed(n, keys)
+    lines = cache(lambda: order_lines(n, keyed))
     return Mart(
         {
             "dim_waktu": lambda: dim_waktu(n),
-            "dim_pelanggan": lambda: dim_pelanggan(n, key),
-            "dim_produk": lambda: dim_produk(n, key),
-            "dim_seller": lambda: dim_seller(n, key),
-            "dim_metode_pembayaran": lambda: dim_metode_pembayaran(n),
-            "fakta_penjualan": lambda: fakta_penjualan(lines, qty_mode),
-            "fakta_pengiriman": lambda: fakta_pengiriman(lines),
-            "fakta_pembayaran": lambda: fakta_pembayaran(n),
+            "dim_pelanggan": lambda: dim_pelanggan(n, keyed),
+            "dim_produk": lambda: dim_produk(n, keyed),
+            "dim_seller": lambda: dim_seller(n, keyed),
+            "dim_metode_pembayaran": lambda: dim_metode_pembayaran(n, keyed),
+            "fakta_penjualan": lambda: fakta_penjualan(lines(), qty_mode),
+            "fakta_pengiriman": lambda: fakta_pengiriman(lines()),
+            "fakta_pembayaran": lambda: fakta_pembayaran(n, keyed),
             "fakta_review": lambda: fakta_review(n),
-        },
-        stored=False,
+        }
     )
 
 
@@ -207,26 +225,27 @@ def open_mart(spark: SparkSession, folder: str, qty_mode: str = "quantity") -> M
     so that join is run and stored once for both.
     """
     n = open_normalized(spark, folder)
+    # Marts over one folder share their tables, so they share their keys.
+    keyed = once_per_session(spark, ("keys", folder), lambda: _Keyed(n))
 
     def lines() -> DataFrame:
-        return written_once(spark, folder, "order_lines", lambda: order_lines(n), _BY_PERIOD)
+        return written_once(spark, folder, "order_lines", lambda: order_lines(n, keyed), _BY_PERIOD)
 
-    def dim(name: str, make: Callable[[Normalized], DataFrame]) -> Callable[[], DataFrame]:
-        return lambda: written_once(spark, folder, name, lambda: make(n))
+    def dim(name: str, make: Callable[..., DataFrame]) -> Callable[[], DataFrame]:
+        return lambda: written_once(spark, folder, name, lambda: make(n, keyed))
 
-    def fact(name: str, make: Callable[[Normalized], DataFrame]) -> Callable[[], DataFrame]:
-        return lambda: written_once(spark, folder, name, lambda: make(n), _BY_PERIOD)
+    def fact(name: str, make: Callable[[], DataFrame]) -> Callable[[], DataFrame]:
+        return lambda: written_once(spark, folder, name, make, _BY_PERIOD)
 
     tables = {
-        "dim_waktu": dim("dim_waktu", dim_waktu),
+        "dim_waktu": dim("dim_waktu", lambda n, _: dim_waktu(n)),
         "dim_pelanggan": dim("dim_pelanggan", dim_pelanggan),
         "dim_produk": dim("dim_produk", dim_produk),
         "dim_seller": dim("dim_seller", dim_seller),
         "dim_metode_pembayaran": dim("dim_metode_pembayaran", dim_metode_pembayaran),
         "fakta_penjualan": lambda: fakta_penjualan(lines(), qty_mode),
         "fakta_pengiriman": lambda: fakta_pengiriman(lines()),
-        "fakta_pembayaran": fact("fakta_pembayaran", fakta_pembayaran),
-        "fakta_review": fact("fakta_review", fakta_review),
+        "fakta_pembayaran": fact("fakta_pembayaran", lambda: fakta_pembayaran(n, keyed)),
+        "fakta_review": fact("fakta_review", lambda: fakta_review(n)),
     }
-    stored = shared_folder(spark) is not None
-    return once_per_session(spark, ("mart", folder, qty_mode), lambda: Mart(tables, stored))
+    return once_per_session(spark, ("mart", folder, qty_mode), lambda: Mart(tables))

@@ -245,8 +245,8 @@ def test_any_ids_give_the_same_totals(spark, make_normalized, tmp_path):
     assert load_mart(spark, str(tmp_path / "mart")).fakta_penjualan.count() == 5
 
 
-def test_ids_that_meet_in_a_key_are_named(make_normalized, tmp_path):
-    n = make_normalized(customers=[("C1", "SP"), ("D1", "SP")])
+def test_an_id_that_occurs_twice_is_named(make_normalized, tmp_path):
+    n = make_normalized(customers=[("C1", "SP"), ("C1", "RJ")])
     with pytest.raises(ValueError, match="pelanggan_key"):
         save_mart(build_mart(n), str(tmp_path / "mart"))
 

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from martlens.model import Mart, Normalized
 from martlens.plans.pairs import PAIRS, Pair
 from martlens.plans.panels import FAILURES
+from martlens.plans.shared import shared_cells
+from martlens.sources.literals import literal_table
 
 #: Holds every exact measure: cents of any amount, and any count.
 _EXACT = "decimal(38,4)"
@@ -36,18 +36,17 @@ def _tall(side: DataFrame, pair: Pair, name: str) -> DataFrame:
     )
 
 
-def align(left: DataFrame, right: DataFrame, pair: Pair) -> DataFrame:
-    """Pair up two results by key; a key on one side only is kept.
+def _aligned(both: DataFrame, *by: str) -> DataFrame:
+    """Pair up the cells of two sides by key; a key on one side only is kept.
 
     Grouping the union does the work of a full outer null-safe join in one
     shuffle of the two aggregated results.
     """
-    both = _tall(left, pair, "normalized").unionByName(_tall(right, pair, "star"))
 
     def of(side: str, value):
         return F.max(F.when(F.col("side") == side, value))
 
-    return both.groupBy("key", "measure").agg(
+    return both.groupBy(*by).agg(
         F.coalesce(of("normalized", F.lit(True)), F.lit(False)).alias("in_normalized"),
         F.coalesce(of("star", F.lit(True)), F.lit(False)).alias("in_star"),
         of("normalized", F.col("value")).alias("normalized"),
@@ -57,13 +56,13 @@ def align(left: DataFrame, right: DataFrame, pair: Pair) -> DataFrame:
     )
 
 
-def reconcile(pair: Pair, n: Normalized, m: Mart) -> DataFrame:
-    """Both values, their distance and whether they agree, per key and measure.
+def align(left: DataFrame, right: DataFrame, pair: Pair) -> DataFrame:
+    """The cells of both results of a pair side by side."""
+    both = _tall(left, pair, "normalized").unionByName(_tall(right, pair, "star"))
+    return _aligned(both, "key", "measure")
 
-    Counts and money are compared as exact decimals; the doubles shown are
-    made from them at the end. Means, which are doubles, are compared as such.
-    """
-    aligned = align(pair.normalized(n), pair.star(m), pair)
+
+def _compared() -> dict[str, Column]:
     exact = F.col("normalized_exact") - F.col("star_exact")
     apart = F.coalesce(F.abs(exact).cast("double"), F.abs(F.col("normalized") - F.col("star")))
     same = (
@@ -72,7 +71,17 @@ def reconcile(pair: Pair, n: Normalized, m: Mart) -> DataFrame:
         & F.col("normalized").eqNullSafe(F.col("star"))
         & F.coalesce(exact == 0, F.lit(True))
     )
-    return aligned.select(
+    return {"delta": apart, "match": same}
+
+
+def reconcile(pair: Pair, n: Normalized, m: Mart) -> DataFrame:
+    """Both values, their distance and whether they agree, per key and measure.
+
+    Counts and money are compared as exact decimals; the doubles shown are
+    made from them at the end. Means, which are doubles, are compared as such.
+    """
+    aligned = align(pair.normalized(n), pair.star(m), pair)
+    return aligned.withColumns(_compared()).select(
         F.lit(pair.name).alias("pair"),
         "key",
         "measure",
@@ -80,24 +89,25 @@ def reconcile(pair: Pair, n: Normalized, m: Mart) -> DataFrame:
         "in_star",
         "normalized",
         "star",
-        apart.alias("delta"),
-        same.alias("match"),
+        "delta",
+        "match",
     )
 
 
-def summarize(cells: DataFrame, pair: Pair) -> DataFrame:
-    """One row for a pair: rows per side, the value of one-row results, verdict."""
-    first = F.col("measure") == pair.measures[0]
+def _summary() -> list[Column]:
+    """Aggregates of a pair's cells: rows per side, the value of one-row results, verdict.
+
+    ``first`` marks the cells of a pair's first measure, one per row.
+    """
 
     def rows(side: str):
-        return F.count(F.when(first & F.col(f"in_{side}"), True))
+        return F.count(F.when(F.col("first") & F.col(f"in_{side}"), True))
 
     def single(side: str):
-        value = F.max(F.when(first, F.col(side)))
+        value = F.max(F.when(F.col("first"), F.col(side)))
         return F.when(rows(side) == 1, value)
 
-    return cells.agg(
-        F.lit(pair.name).alias("pair"),
+    return [
         rows("normalized").alias("rows_normalized"),
         rows("star").alias("rows_star"),
         single("normalized").alias("value_normalized"),
@@ -106,24 +116,31 @@ def summarize(cells: DataFrame, pair: Pair) -> DataFrame:
         F.count(F.when(~F.col("match"), True)).alias("differing"),
         F.coalesce(F.max("delta"), F.lit(0.0)).alias("max_delta"),
         F.coalesce(F.min(F.col("match")), F.lit(True)).alias("match"),
-    )
+    ]
+
+
+def summarize(cells: DataFrame, pair: Pair) -> DataFrame:
+    """One row for a pair, from its reconciled cells."""
+    marked = cells.withColumn("first", F.col("measure") == pair.measures[0])
+    return marked.agg(F.lit(pair.name).alias("pair"), *_summary())
 
 
 def reconcile_all(n: Normalized, m: Mart) -> DataFrame:
-    """One summary row per pair, as a single plan.
+    """One summary row per pair, from one pass over each base table.
 
-    Pairs that ask the same thing under two names are compared once.
+    Pairs that ask the same thing under two names are compared once. A pair
+    without rows on either side has a row that says so.
     """
     names: dict[tuple, list[str]] = {}
     for pair in PAIRS.values():
         names.setdefault((pair.normalized, pair.star), []).append(pair.name)
-    reports = []
-    for same in names.values():
-        pair = PAIRS[same[0]]
-        report = summarize(reconcile(pair, n, m), pair)
-        named = F.explode(F.array(*[F.lit(name) for name in same])).alias("pair")
-        reports.append(report.select(named, *report.columns[1:]))
-    return reduce(DataFrame.unionByName, reports)
+    aligned = _aligned(shared_cells(n, m), "pair", "key", "measure", "first")
+    found = aligned.withColumns(_compared()).groupBy(F.col("pair").alias("of")).agg(*_summary())
+    twins = [(name, same[0]) for same in names.values() for name in same]
+    listed = literal_table(n.orders.sparkSession, twins, "pair", "of").join(found, "of", "left")
+    counts = ["rows_normalized", "rows_star", "matching", "differing"]
+    nothing = {"max_delta": 0.0, "match": True} | dict.fromkeys(counts, 0)
+    return listed.drop("of").fillna(nothing)
 
 
 def run_pair(pair: Pair, n: Normalized, m: Mart) -> dict[str, object]:

@@ -1,9 +1,9 @@
 """Joins between facts and dimensions.
 
-A dimension that was measured and is small is broadcast, and the fact is summed
-per label in place: one shuffle of a few labels. Any other dimension is met by
-a fact already summed per foreign key, so that a product holding a third of
-all sales is one row per map task when it is shuffled and one row when joined.
+A dimension is met by a fact already summed per foreign key, so that a product
+holding a third of all sales is one row per map task when it is shuffled and one
+row when joined. The join carries no hint: adaptive execution broadcasts the
+dimension, or the sums, where their size at run time allows it.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+
 def per_key(fact: DataFrame, key: str, **measures: tuple[str, str]) -> DataFrame:
     """One row per ``key``; ``measures`` maps a name to ``(kind, column)``."""
     return fact.groupBy(key).agg(
@@ -30,23 +31,15 @@ def totals_by_label(
     key: str,
     label: Column,
     how: str = "inner",
-    small: bool = False,
     **measures: tuple[str, str],
 ) -> DataFrame:
     """Sums and counts of a fact per attribute of a dimension.
 
     ``label`` may use any column of ``dim`` and the key. NULL labels form a
     group of their own. With ``how='left'`` facts without a dimension row stay.
-    ``small`` says that ``dim`` was measured and may be broadcast.
     """
-    label = label.alias("label")
-    if small:
-        joined = fact.join(F.broadcast(dim), key, how)
-        return joined.groupBy(label).agg(
-            *[_first_pass(kind, column).alias(name) for name, (kind, column) in measures.items()]
-        )
     joined = per_key(fact, key, **measures).join(dim, key, how)
-    return joined.groupBy(label).agg(*[F.sum(name).alias(name) for name in measures])
+    return joined.groupBy(label.alias("label")).agg(*[F.sum(name).alias(name) for name in measures])
 
 
 def translate_category(products: DataFrame, translation: DataFrame) -> DataFrame:

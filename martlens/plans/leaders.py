@@ -20,8 +20,7 @@ def top_items(m: Mart, p: Period = ALL, by: str = "product", k: int = 10) -> Dat
     """Best sellers by quantity; any ``by`` other than category means product."""
     label = F.col("kategori_inggris") if by == "category" else F.col("produk_id")
     sold = in_period(m.fakta_penjualan, m.dim_waktu, p)
-    small = m.is_small("dim_produk")
-    totals = totals_by_label(sold, m.dim_produk, "produk_key", label, small=small, **_QTY)
+    totals = totals_by_label(sold, m.dim_produk, "produk_key", label, **_QTY)
     return top_k(totals, "total_qty", k)
 
 
@@ -32,7 +31,6 @@ def seller_totals(m: Mart, p: Period = ALL) -> DataFrame:
         m.dim_seller,
         "seller_key",
         F.col("seller_id"),
-        small=m.is_small("dim_seller"),
         **_QTY,
         **_REVENUE,
     )
@@ -77,7 +75,6 @@ def customer_totals(m: Mart, p: Period = ALL) -> DataFrame:
         "pelanggan_key",
         label,
         how="left",
-        small=m.is_small("dim_pelanggan"),
         **_QTY,
         **_REVENUE,
     )

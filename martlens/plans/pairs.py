@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from martlens.functions import as_double, elapsed_days, mean_rounded
 from martlens.model import Mart, Normalized
 from martlens.operators.joins import per_key, totals_by_label, translate_category
-from martlens.operators.period import in_period
+from martlens.operators.period import ALL, Period, in_period
 from martlens.operators.ranking import highest_first
 
 
@@ -40,19 +40,20 @@ def _latest_first() -> list[Column]:
 # Revenue per year and month. Items are summed per order before they meet it.
 
 
-def _revenue_by_month_n(n: Normalized) -> DataFrame:
+def revenue_by_month(n: Normalized, p: Period = ALL) -> DataFrame:
+    """Revenue of the orders of a period; other orders are not read where files tell."""
     spent = per_key(n.order_items, "order_id", total_revenue=("sum", "price"))
     bought = F.col("order_purchase_timestamp")
-    dated = n.orders.select(
+    dated = p.keep_moments(n.orders, "order_purchase_timestamp").select(
         "order_id", F.year(bought).alias("tahun"), F.month(bought).alias("bulan")
     )
     sums = spent.join(dated, "order_id").groupBy("tahun", "bulan")
-    return (sums.agg(F.sum("total_revenue").alias("total_revenue")).orderBy(*_latest_first()))
+    return sums.agg(F.sum("total_revenue").alias("total_revenue")).orderBy(*_latest_first())
 
 
 def _revenue_by_month_s(m: Mart) -> DataFrame:
     sums = in_period(m.fakta_penjualan, m.dim_waktu).groupBy("tahun", "bulan")
-    return (sums.agg(F.sum("total_harga").alias("total_revenue")).orderBy(*_latest_first()))
+    return sums.agg(F.sum("total_harga").alias("total_revenue")).orderBy(*_latest_first())
 
 
 # Quantity and revenue per English category, over all dates.
@@ -68,11 +69,10 @@ def _sales_by_category_n(n: Normalized) -> DataFrame:
         _translated(n),
         "product_id",
         F.col("product_category_name_english"),
-        small=n.is_small("products"),
         total_qty=("count", "order_item_id"),
         total_revenue=("sum", "price"),
     ).withColumnRenamed("label", "kategori")
-    return (sums.orderBy(*highest_first("total_revenue", "kategori")))
+    return sums.orderBy(*highest_first("total_revenue", "kategori"))
 
 
 def _sales_by_category_s(m: Mart) -> DataFrame:
@@ -81,11 +81,10 @@ def _sales_by_category_s(m: Mart) -> DataFrame:
         m.dim_produk,
         "produk_key",
         F.col("kategori_inggris"),
-        small=m.is_small("dim_produk"),
         total_qty=("sum", "jumlah"),
         total_revenue=("sum", "total_harga"),
     ).withColumnRenamed("label", "kategori")
-    return (sums.orderBy(*highest_first("total_revenue", "kategori")))
+    return sums.orderBy(*highest_first("total_revenue", "kategori"))
 
 
 # Customers per state; blank and unknown states are states here.
@@ -100,13 +99,15 @@ def _customers_by_state(df: DataFrame, state: str, name: str, k: int | None = No
 # Mean delivery days. The means are unrounded quotients of exact sums.
 
 
+def delivered() -> tuple[Column, Column]:
+    """Whether an order has arrived, and after how many days."""
+    arrival = F.col("order_delivered_customer_date")
+    return arrival.isNotNull(), elapsed_days(F.col("order_purchase_timestamp"), arrival)
+
+
 def _delivered(n: Normalized) -> DataFrame:
-    delivered = F.col("order_delivered_customer_date")
-    return n.orders.where(delivered.isNotNull()).select(
-        "order_id",
-        "customer_id",
-        elapsed_days(F.col("order_purchase_timestamp"), delivered).alias("days"),
-    )
+    arrived, days = delivered()
+    return n.orders.where(arrived).select("order_id", "customer_id", days.alias("days"))
 
 
 def _slowest_first(sums: DataFrame, label: str) -> DataFrame:
@@ -123,7 +124,6 @@ def _delivery_by_category_n(n: Normalized) -> DataFrame:
         _translated(n),
         "product_id",
         F.col("product_category_name_english"),
-        small=n.is_small("products"),
         days=("sum", "days"),
         timed=("count", "days"),
     )
@@ -136,7 +136,6 @@ def _delivery_s(m: Mart, dim: str, key: str, label: str, name: str) -> DataFrame
         m.table(dim),
         key,
         F.col(label),
-        small=m.is_small(dim),
         days=("sum", "durasi_pengiriman"),
         timed=("count", "durasi_pengiriman"),
     )
@@ -155,7 +154,6 @@ def _delivery_by_state_n(n: Normalized) -> DataFrame:
         n.customers,
         "customer_id",
         F.col("customer_state"),
-        small=n.is_small("customers"),
         days=("sum", "days"),
         timed=("count", "days"),
     )
@@ -206,7 +204,6 @@ def _payments_s(m: Mart) -> DataFrame:
         m.dim_metode_pembayaran,
         "metode_key",
         F.col("metode_pembayaran"),
-        small=m.is_small("dim_metode_pembayaran"),
         jumlah_penggunaan=("count", "*"),
     ).withColumnRenamed("label", "metode_pembayaran")
     return counted.orderBy(*highest_first("jumlah_penggunaan", "metode_pembayaran"))
@@ -234,7 +231,6 @@ def _top_products_s(m: Mart) -> DataFrame:
         m.dim_produk,
         "produk_key",
         F.col("produk_id"),
-        small=m.is_small("dim_produk"),
         jumlah_terjual=("sum", "jumlah"),
     )
     return _top(sums, "product_id", "jumlah_terjual")
@@ -242,7 +238,7 @@ def _top_products_s(m: Mart) -> DataFrame:
 
 def _top_sellers_n(n: Normalized) -> DataFrame:
     sums = per_key(n.order_items, "seller_id", total_revenue=("sum", "price"))
-    return (_top(sums, "seller_id", "total_revenue"))
+    return _top(sums, "seller_id", "total_revenue")
 
 
 def _top_sellers_s(m: Mart) -> DataFrame:
@@ -251,10 +247,9 @@ def _top_sellers_s(m: Mart) -> DataFrame:
         m.dim_seller,
         "seller_key",
         F.col("seller_id"),
-        small=m.is_small("dim_seller"),
         total_revenue=("sum", "total_harga"),
     )
-    return (_top(sums, "seller_id", "total_revenue"))
+    return _top(sums, "seller_id", "total_revenue")
 
 
 def _top_customers_n(n: Normalized) -> DataFrame:
@@ -265,7 +260,7 @@ def _top_customers_n(n: Normalized) -> DataFrame:
         F.col("customer_id"),
         total_revenue=("sum", "price"),
     )
-    return (_top(sums, "customer_id", "total_revenue"))
+    return _top(sums, "customer_id", "total_revenue")
 
 
 def _top_customers_s(m: Mart) -> DataFrame:
@@ -274,10 +269,9 @@ def _top_customers_s(m: Mart) -> DataFrame:
         m.dim_pelanggan,
         "pelanggan_key",
         F.col("pelanggan_id"),
-        small=m.is_small("dim_pelanggan"),
         total_revenue=("sum", "total_harga"),
     )
-    return (_top(sums, "customer_id", "total_revenue"))
+    return _top(sums, "customer_id", "total_revenue")
 
 
 # Mean rating per year.
@@ -298,7 +292,7 @@ def _ratings_s(m: Mart) -> DataFrame:
     return _ratings(in_period(m.fakta_review, m.dim_waktu), "skor_review")
 
 
-_MONTHLY = (("tahun", "bulan"), ("total_revenue",), _revenue_by_month_n, _revenue_by_month_s)
+_MONTHLY = (("tahun", "bulan"), ("total_revenue",), revenue_by_month, _revenue_by_month_s)
 _BY_CATEGORY = (
     ("kategori",),
     ("avg_delivery_days",),

@@ -59,7 +59,6 @@ def payment_methods(m: Mart, p: Period = ALL) -> DataFrame:
         m.dim_metode_pembayaran,
         "metode_key",
         F.col("metode_pembayaran"),
-        small=m.is_small("dim_metode_pembayaran"),
         jumlah=("count", "*"),
     )
     return counted.orderBy(*highest_first("jumlah")).withColumnRenamed(
@@ -74,7 +73,6 @@ def _delivery_means(m: Mart, p: Period, dim: str, key: str, label: str) -> DataF
         m.table(dim),
         key,
         F.col(label),
-        small=m.is_small(dim),
         days=("sum", "durasi_pengiriman"),
         timed=("count", "durasi_pengiriman"),
         shipments=("count", "*"),

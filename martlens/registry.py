@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import NAMESPACE_URL, uuid4, uuid5
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,9 +13,17 @@ from martlens.model import Mart, Normalized
 from martlens.operators.period import Period
 from martlens.plans import geo, insights, kpis, leaders, series
 from martlens.plans.build import open_mart, open_normalized
-from martlens.plans.pairs import PAIRS
+from martlens.plans.pairs import PAIRS, revenue_by_month
 from martlens.plans.reconcile import reconcile, reconcile_all
+from martlens.session import once_per_session, shared_folder
 from martlens.sinks import chart_arrays, state_document
+from martlens.sources.stored import (
+    load_mart,
+    load_normalized,
+    mart_from_catalog,
+    register_views,
+    save_mart,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -162,5 +171,89 @@ def _pairs() -> dict[str, Query]:
     return found | {"reconcile_all": _on_both(reconcile_all)}
 
 
+def _copy_of(spark: SparkSession, folder: str, name: str, write: Callable[[str], None]) -> str:
+    """The path of a copy of the tables that is written now."""
+    shared = shared_folder(spark)
+    if shared is None:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    path = f"{shared}/martlens-{spark.sparkContext.applicationId}/{name}-{uuid4().hex}"
+    write(path)
+    return path
+
+
+def _on_saved(ask: Callable[[Mart], DataFrame], partitioned: bool = True) -> Query:
+    """Asked of a mart that was saved and loaded, facts by month or by date order."""
+
+    def answer(spark: SparkSession, folder: str) -> DataFrame:
+        def loaded() -> Mart:
+            mart = open_mart(spark, folder)
+            path = _copy_of(spark, folder, "saved", lambda at: save_mart(mart, at, partitioned))
+            return load_mart(spark, path, partitioned)
+
+        return ask(once_per_session(spark, ("saved", partitioned, folder), loaded))
+
+    return answer
+
+
+def _on_loaded(ask: Callable[[Normalized], DataFrame]) -> Query:
+    """Asked of normalized tables that were stored and loaded."""
+
+    def answer(spark: SparkSession, folder: str) -> DataFrame:
+        def write(path: str) -> None:
+            n = open_normalized(spark, folder)
+            for name in n.names():
+                n.table(name).write.parquet(f"{path}/{name}")
+
+        def loaded() -> Normalized:
+            return load_normalized(spark, _copy_of(spark, folder, "normalized", write))
+
+        return ask(once_per_session(spark, ("loaded", folder), loaded))
+
+    return answer
+
+
+def _on_catalog(ask: Callable[[Mart], DataFrame]) -> Query:
+    """Asked of tables found by name, the seller dimension by its other name."""
+
+    def answer(spark: SparkSession, folder: str) -> DataFrame:
+        prefix = f"martlens_{uuid5(NAMESPACE_URL, folder).hex}_"
+        mart = open_mart(spark, folder)
+        register_views(mart, prefix)
+        mart.dim_seller.createOrReplaceTempView(f"{prefix}dim_penjual")
+        spark.catalog.dropTempView(f"{prefix}dim_seller")
+        return ask(mart_from_catalog(spark, prefix))
+
+    return answer
+
+
+def _sources() -> dict[str, Query]:
+    """The ways to tables and periods: saved, loaded, by name, from request parameters."""
+    found: dict[str, Query] = {
+        "loaded_top_sellers_ym": _on_saved(lambda m: leaders.top_sellers(m, PERIODS["ym"])),
+        "loaded_q14_n": _on_loaded(lambda n: _shown(PAIRS["q14"].normalized(n))),
+        "loaded_q16_n": _on_loaded(lambda n: _shown(PAIRS["q16"].normalized(n))),
+        "catalog_segment_sellers_y": _on_catalog(
+            lambda m: leaders.segment_sellers(m, PERIODS["y"])
+        ),
+        "catalog_state_distribution_seller": _on_catalog(
+            lambda m: geo.state_distribution(m, "seller")
+        ),
+        "text_period_items_sold": _on_mart(
+            lambda m: kpis.kpi_items_sold(m, Period.of("1997x", "3"))
+        ),
+        "blank_period_items_sold": _on_mart(
+            lambda m: kpis.kpi_items_sold(m, Period.of("", "March"))
+        ),
+    }
+    for name, p in PERIODS.items():
+        found[f"flat_sales_series_{name}"] = _on_saved(
+            lambda m, p=p: series.sales_series(m, p), partitioned=False
+        )
+        found[f"norm_revenue_{name}"] = _on_normalized(
+            lambda n, p=p: _shown(revenue_by_month(n, p))
+        )
+    return found
+
+
 def all_queries() -> dict[str, Query]:
-    return {**_tables(), **_figures(), **_boards(), **_pairs()}
+    return {**_tables(), **_figures(), **_boards(), **_pairs(), **_sources()}

@@ -101,15 +101,20 @@ def check_keys(mart: Mart) -> None:
             raise ValueError(f"{name}: {key} {wrong} stand for several rows or none")
 
 
-def save_mart(mart: Mart, path: str) -> None:
+def save_mart(mart: Mart, path: str, partitioned: bool = True) -> None:
     """Write every table of a mart under ``path``, facts by year and month.
 
-    The dimensions' keys are checked first.
+    Facts that are not to be partitioned are written in the order of their date
+    key, without year and month, so that a period reads few of their files. The
+    dimensions' keys are checked first.
     """
     check_keys(mart)
     for name in STAR:
         df = mart.table(name)
         by = [c for c in ("tahun", "bulan") if name.startswith("fakta_") and c in df.columns]
+        if by and not partitioned:
+            df = df.drop(*by).repartitionByRange("waktu_id").sortWithinPartitions("waktu_id")
+            by = []
         write_partitioned(df, f"{path.rstrip('/')}/{name}", by)
 
 

@@ -715,8 +715,42 @@ def _pairs() -> dict[str, str]:
     return sql
 
 
+# Ways to tables and periods: the questions are known, the way there is new.
+
+_SAME_ROWS = {
+    "loaded_top_sellers_ym": "top_sellers_qty_ym",
+    "loaded_q14_n": "q14_n",
+    "loaded_q16_n": "q16_n",
+    "catalog_segment_sellers_y": "segment_sellers_y",
+    "catalog_state_distribution_seller": "state_distribution_seller",
+    "text_period_items_sold": "kpi_items_sold_ym",
+    "blank_period_items_sold": "kpi_items_sold_all",
+    **{f"flat_sales_series_{p}": f"sales_series_{p}" for p in PERIODS},
+}
+
+_BOUGHT = {
+    "all": "",
+    "y": "WHERE year(order_purchase_timestamp) = 1997",
+    "m": "WHERE month(order_purchase_timestamp) = 3",
+    "ym": """WHERE order_purchase_timestamp >= TIMESTAMP '1997-03-01'
+             AND order_purchase_timestamp < TIMESTAMP '1997-04-01'""",
+}
+
+
+def _sources(known: dict[str, str]) -> dict[str, str]:
+    sql = {name: known[same] for name, same in _SAME_ROWS.items()}
+    for period, where in _BOUGHT.items():
+        sql[f"norm_revenue_{period}"] = with_tables(
+            f"""SELECT CAST(year(order_purchase_timestamp) AS INTEGER) AS tahun,
+                       CAST(month(order_purchase_timestamp) AS INTEGER) AS bulan,
+                       CAST(sum(price) AS DOUBLE) AS total_revenue
+                FROM n_order_items JOIN n_orders USING (order_id) {where} GROUP BY 1, 2"""
+        )
+    return sql
+
+
 def oracle_queries() -> dict[str, str]:
-    return {
+    known = {
         **_model_tables(),
         **_figures(),
         **_distributions(),
@@ -724,3 +758,4 @@ def oracle_queries() -> dict[str, str]:
         **_insights(),
         **_pairs(),
     }
+    return known | _sources(known)

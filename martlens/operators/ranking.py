@@ -1,7 +1,7 @@
 """Ordering, top-k, positions and extremes.
 
-Windows without a partition appear only here, and only over rows that a limit
-or the calendar has already bounded.
+Windows without a partition appear only here and over one row per task: over rows
+that a limit or the calendar has already bounded. ``ranked`` numbers any others.
 """
 
 from __future__ import annotations
@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from martlens.operators.numbering import numbered, tagged
+from martlens.session import stored_copy
+
 
 def highest_first(measure: str, label: str = "label", nulls: str = "first") -> list[Column]:
     """Descending measure, then ascending label as the tie-breaker.
@@ -34,6 +37,19 @@ def positioned(bounded: DataFrame, order: list[Column], name: str = "pos") -> Da
     return bounded.select(F.row_number().over(Window.orderBy(*order)).alias(name), "*")
 
 
+def ranked(df: DataFrame, order: list[Column], name: str = "pos") -> DataFrame:
+    """Number all rows of a result of any size, 1 for the first in ``order``.
+
+    Rows are dealt by ranges of the order and sorted within them; a row's
+    number is its place in its range plus the rows of the ranges before, so no
+    task sees more than its range. The sorted rows are written to the shared
+    folder at once. ``order`` has to be total, as a tie has no fixed winner.
+    """
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    stored = stored_copy(tagged(dealt, "_place"), "ranked")
+    return numbered(stored, "_place", name, 1).select(name, *df.columns)
+
+
 def tier(position: Column) -> Column:
     """Gold for places 1-3, Silver for 4-6, Bronze below."""
     return F.when(position <= 3, "Gold").when(position <= 6, "Silver").otherwise("Bronze")

@@ -13,6 +13,8 @@ from martlens.functions import elapsed_days
 from martlens.model import PERIOD_COLUMNS, STAR, Mart, Normalized, conform
 from martlens.operators.joins import translate_category
 from martlens.operators.period import DATE_KEY
+from martlens.plans.activity import activity_of
+from martlens.plans.rollup import rollup_of
 from martlens.session import once_per_session, shared_folder
 from martlens.sources.keys import (
     CUSTOMERS,
@@ -192,20 +194,28 @@ def build_mart(n: Normalized, qty_mode: str = "quantity", keys: Keys | None = No
     keys of earlier ones; without it the keys are right within this mart only.
     """
     keyed = _Keyed(n, keys)
-    lines = cache(lambda: order_lines(n, keyed))
-    return Mart(
-        {
-            "dim_waktu": lambda: dim_waktu(n),
-            "dim_pelanggan": lambda: dim_pelanggan(n, keyed),
-            "dim_produk": lambda: dim_produk(n, keyed),
-            "dim_seller": lambda: dim_seller(n, keyed),
-            "dim_metode_pembayaran": lambda: dim_metode_pembayaran(n, keyed),
-            "fakta_penjualan": lambda: fakta_penjualan(lines(), qty_mode),
-            "fakta_pengiriman": lambda: fakta_pengiriman(lines()),
-            "fakta_pembayaran": lambda: fakta_pembayaran(n, keyed),
-            "fakta_review": lambda: fakta_review(n),
-        }
-    )
+
+    def over(store: Callable[[str, DataFrame], DataFrame]) -> Mart:
+        lines = cache(lambda: store("order_lines", order_lines(n, keyed)))
+        sold = cache(lambda: fakta_penjualan(lines(), qty_mode))
+        return Mart(
+            {
+                "dim_waktu": lambda: dim_waktu(n),
+                "dim_pelanggan": lambda: dim_pelanggan(n, keyed),
+                "dim_produk": lambda: dim_produk(n, keyed),
+                "dim_seller": lambda: dim_seller(n, keyed),
+                "dim_metode_pembayaran": lambda: dim_metode_pembayaran(n, keyed),
+                "fakta_penjualan": sold,
+                "fakta_pengiriman": lambda: fakta_pengiriman(lines()),
+                "fakta_pembayaran": lambda: fakta_pembayaran(n, keyed),
+                "fakta_review": lambda: fakta_review(n),
+                "sales_rollup": lambda: rollup_of(sold(), dim_waktu(n)),
+                "customer_activity": lambda: activity_of(sold(), dim_waktu(n)),
+            },
+            over,
+        )
+
+    return over(lambda name, table: table)
 
 
 def open_normalized(spark: SparkSession, folder: str) -> Normalized:
@@ -237,6 +247,13 @@ def open_mart(spark: SparkSession, folder: str, qty_mode: str = "quantity") -> M
     def fact(name: str, make: Callable[[], DataFrame]) -> Callable[[], DataFrame]:
         return lambda: written_once(spark, folder, name, make, _BY_PERIOD)
 
+    def derived(name: str, make: Callable[..., DataFrame], files: int = 0) -> Callable[[], DataFrame]:
+        def made() -> DataFrame:
+            found = make(fakta_penjualan(lines(), qty_mode), tables["dim_waktu"]())
+            return found.coalesce(files) if files else found
+
+        return lambda: written_once(spark, folder, name, made)
+
     tables = {
         "dim_waktu": dim("dim_waktu", lambda n, _: dim_waktu(n)),
         "dim_pelanggan": dim("dim_pelanggan", dim_pelanggan),
@@ -247,5 +264,7 @@ def open_mart(spark: SparkSession, folder: str, qty_mode: str = "quantity") -> M
         "fakta_pengiriman": lambda: fakta_pengiriman(lines()),
         "fakta_pembayaran": fact("fakta_pembayaran", lambda: fakta_pembayaran(n, keyed)),
         "fakta_review": fact("fakta_review", lambda: fakta_review(n)),
+        "sales_rollup": derived(f"sales_rollup_{qty_mode}", rollup_of, 1),
+        "customer_activity": derived("customer_activity", activity_of),
     }
     return once_per_session(spark, ("mart", folder, qty_mode), lambda: Mart(tables))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from martlens.functions import as_double, mean_rounded
 from martlens.model import Mart
-from martlens.operators.period import ALL, Period, in_period
+from martlens.operators.period import ALL, Period
+from martlens.plans.rollup import EVERY, sums_of
 from martlens.sources.literals import month_names
 
 
@@ -41,8 +42,7 @@ def kpi_categories(m: Mart) -> DataFrame:
 
 
 def kpi_items_sold(m: Mart, p: Period = ALL) -> DataFrame:
-    sold = in_period(m.fakta_penjualan, m.dim_waktu, p)
-    return sold.agg(F.coalesce(F.sum("jumlah"), F.lit(0)).alias("items_sold"))
+    return sums_of(m, p).agg(F.coalesce(F.sum("qty"), F.lit(0)).alias("items_sold"))
 
 
 def kpi_revenue(m: Mart, year: int | None = None) -> DataFrame:
@@ -51,9 +51,9 @@ def kpi_revenue(m: Mart, year: int | None = None) -> DataFrame:
     Without a year no date is looked up, so sales of unknown date count too.
     """
     p = Period.of(year)
-    sales = in_period(m.fakta_penjualan, m.dim_waktu, p) if p.year else m.fakta_penjualan
-    total = F.coalesce(F.sum("total_harga"), F.lit(0))
-    return sales.agg(as_double(total).alias("total_revenue"))
+    total = F.coalesce(F.sum("revenue"), F.lit(0))
+    sums = sums_of(m, p) if p.year else sums_of(m, grain=EVERY)
+    return sums.agg(as_double(total).alias("total_revenue"))
 
 
 def kpi_avg_delivery(m: Mart) -> DataFrame:

@@ -9,7 +9,7 @@ from martlens.functions import as_double, non_blank, number_text
 from martlens.model import Mart
 from martlens.operators.joins import totals_by_label
 from martlens.operators.period import ALL, Period, in_period
-from martlens.operators.ranking import tier, top_k
+from martlens.operators.ranking import highest_first, ranked, tier, top_k
 from martlens.sources.literals import benefit_of
 
 _QTY = {"total_qty": ("sum", "jumlah")}
@@ -89,6 +89,23 @@ def top_customers(m: Mart, p: Period = ALL, k: int = 10) -> DataFrame:
     return exact_top_customers(m, p, k).select("pos", "label", revenue.alias("total_revenue"))
 
 
+def _positions(totals: DataFrame) -> DataFrame:
+    shown = totals.select("label", "total_qty", F.col("total_revenue").alias("exact"))
+    placed = ranked(shown, highest_first("exact"))
+    revenue = as_double(F.coalesce("exact", F.lit(0))).alias("total_revenue")
+    return placed.select("pos", "label", "total_qty", revenue)
+
+
+def customer_positions(m: Mart, p: Period = ALL) -> DataFrame:
+    """The place of every customer by revenue, not of the first ten only."""
+    return _positions(customer_totals(m, p))
+
+
+def seller_positions(m: Mart, p: Period = ALL) -> DataFrame:
+    """The place of every seller by revenue."""
+    return _positions(seller_totals(m, p))
+
+
 def top_states(m: Mart, k: int = 5) -> DataFrame:
     """States with most customers, blank and unknown states left out."""
     counted = (

@@ -10,6 +10,7 @@ from martlens.model import Mart
 from martlens.operators.joins import totals_by_label
 from martlens.operators.period import ALL, Period, in_period
 from martlens.operators.ranking import highest_first, positioned
+from martlens.plans.rollup import sums_of
 
 
 def _series_key(p: Period) -> tuple[list[str], Column]:
@@ -28,11 +29,8 @@ def sales_points(m: Mart, p: Period = ALL) -> DataFrame:
     The calendar bounds the number of points, so numbering them is cheap.
     """
     keys, label = _series_key(p)
-    sums = (
-        in_period(m.fakta_penjualan, m.dim_waktu, p)
-        .groupBy(*keys)
-        .agg(F.sum("total_harga").alias("revenue"), F.sum("jumlah").alias("qty"))
-    )
+    # A point is a row of the rollup at the grain of the series.
+    sums = sums_of(m, p, "day" if p.grain == "day" else "month")
     in_time = [F.col(key).asc_nulls_last() for key in keys]
     return positioned(sums, in_time).select("pos", label.alias("label"), "revenue", "qty")
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from uuid import NAMESPACE_URL, uuid4, uuid5
+from uuid import NAMESPACE_URL, uuid5
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,11 +12,13 @@ from martlens.functions import number_text, short_label
 from martlens.model import Mart, Normalized
 from martlens.operators.period import Period
 from martlens.plans import geo, insights, kpis, leaders, series
+from martlens.plans.activity import active_customers
 from martlens.plans.build import open_mart, open_normalized
 from martlens.plans.pairs import PAIRS, revenue_by_month
 from martlens.plans.reconcile import reconcile, reconcile_all
-from martlens.session import once_per_session, shared_folder
-from martlens.sinks import chart_arrays, state_document
+from martlens.plans.rollup import sales_rollup
+from martlens.session import new_path, once_per_session
+from martlens.sinks import chart_arrays, json_fragments, state_document
 from martlens.sources.stored import (
     load_mart,
     load_normalized,
@@ -171,23 +173,14 @@ def _pairs() -> dict[str, Query]:
     return found | {"reconcile_all": _on_both(reconcile_all)}
 
 
-def _copy_of(spark: SparkSession, folder: str, name: str, write: Callable[[str], None]) -> str:
-    """The path of a copy of the tables that is written now."""
-    shared = shared_folder(spark)
-    if shared is None:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    path = f"{shared}/martlens-{spark.sparkContext.applicationId}/{name}-{uuid4().hex}"
-    write(path)
-    return path
-
-
 def _on_saved(ask: Callable[[Mart], DataFrame], partitioned: bool = True) -> Query:
     """Asked of a mart that was saved and loaded, facts by month or by date order."""
 
     def answer(spark: SparkSession, folder: str) -> DataFrame:
         def loaded() -> Mart:
             mart = open_mart(spark, folder)
-            path = _copy_of(spark, folder, "saved", lambda at: save_mart(mart, at, partitioned))
+            path = new_path(spark, "saved")
+            save_mart(mart, path, partitioned)
             return load_mart(spark, path, partitioned)
 
         return ask(once_per_session(spark, ("saved", partitioned, folder), loaded))
@@ -199,13 +192,11 @@ def _on_loaded(ask: Callable[[Normalized], DataFrame]) -> Query:
     """Asked of normalized tables that were stored and loaded."""
 
     def answer(spark: SparkSession, folder: str) -> DataFrame:
-        def write(path: str) -> None:
-            n = open_normalized(spark, folder)
+        def loaded() -> Normalized:
+            n, path = open_normalized(spark, folder), new_path(spark, "normalized")
             for name in n.names():
                 n.table(name).write.parquet(f"{path}/{name}")
-
-        def loaded() -> Normalized:
-            return load_normalized(spark, _copy_of(spark, folder, "normalized", write))
+            return load_normalized(spark, path)
 
         return ask(once_per_session(spark, ("loaded", folder), loaded))
 
@@ -246,8 +237,11 @@ def _sources() -> dict[str, Query]:
         ),
     }
     for name, p in PERIODS.items():
-        found[f"flat_sales_series_{name}"] = _on_saved(
-            lambda m, p=p: series.sales_series(m, p), partitioned=False
+        found[f"flat_payment_methods_{name}"] = _on_saved(
+            lambda m, p=p: series.payment_methods(m, p), partitioned=False
+        )
+        found[f"loaded_sales_series_{name}"] = _on_saved(
+            lambda m, p=p: series.sales_series(m, p)
         )
         found[f"norm_revenue_{name}"] = _on_normalized(
             lambda n, p=p: _shown(revenue_by_month(n, p))
@@ -255,5 +249,20 @@ def _sources() -> dict[str, Query]:
     return found
 
 
+def _of_any_size() -> dict[str, Query]:
+    """Results that no top-k or calendar bounds."""
+    found = {
+        "customer_positions": _on_mart(leaders.customer_positions),
+        "seller_positions": _on_mart(leaders.seller_positions),
+        "json_fragments_sellers": _on_mart(
+            lambda m: json_fragments(leaders.seller_positions(m), "label", "total_qty")
+        ),
+        "mart_sales_rollup": _on_mart(lambda m: _doubled(sales_rollup(m), "revenue")),
+    }
+    for name, p in PERIODS.items():
+        found[f"active_customers_{name}"] = _on_mart(lambda m, p=p: active_customers(m, p))
+    return found
+
+
 def all_queries() -> dict[str, Query]:
-    return {**_tables(), **_figures(), **_boards(), **_pairs(), **_sources()}
+    return {**_tables(), **_figures(), **_boards(), **_pairs(), **_sources(), **_of_any_size()}

@@ -6,9 +6,10 @@ import tempfile
 from collections.abc import Callable, Hashable
 from threading import RLock
 from typing import TypeVar
+from uuid import uuid4
 from weakref import WeakKeyDictionary
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 T = TypeVar("T")
 
@@ -62,3 +63,18 @@ def shared_folder(spark: SparkSession) -> str | None:
         return None
     context.setCheckpointDir(tempfile.mkdtemp(prefix="martlens-"))
     return context.getCheckpointDir()
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path of its own for a table that this application writes."""
+    folder = shared_folder(spark)
+    if folder is None:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{folder}/martlens-{spark.sparkContext.applicationId}/{name}-{uuid4().hex}"
+
+
+def stored_copy(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written now and read back: computed once, the same rows for every reader."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

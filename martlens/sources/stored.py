@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from uuid import uuid4
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,7 +34,13 @@ def load_mart(spark: SparkSession, path: str, partitioned: bool = True) -> Mart:
         ddl = f"{STAR[name]}, {PERIOD_COLUMNS}" if fact else STAR[name]
         return checked(spark.read.parquet(f"{path.rstrip('/')}/{name}"), ddl, name)
 
-    return Mart({name: (lambda name=name: load(name)) for name in STAR})
+    tables = {name: (lambda name=name: load(name)) for name in STAR}
+    for name in Mart.derived:
+        try:
+            tables[name] = spark.read.parquet(f"{path.rstrip('/')}/{name}")
+        except AnalysisException:  # saved without it: worked out when asked for
+            continue
+    return Mart(tables)
 
 
 def load_normalized(spark: SparkSession, path: str) -> Normalized:
@@ -101,21 +108,62 @@ def check_keys(mart: Mart) -> None:
             raise ValueError(f"{name}: {key} {wrong} stand for several rows or none")
 
 
+def _facts_by(mart: Mart, name: str) -> list[str]:
+    fact = name.startswith("fakta_")
+    return [c for c in ("tahun", "bulan") if fact and c in mart.table(name).columns]
+
+
 def save_mart(mart: Mart, path: str, partitioned: bool = True) -> None:
     """Write every table of a mart under ``path``, facts by year and month.
 
     Facts that are not to be partitioned are written in the order of their date
     key, without year and month, so that a period reads few of their files. The
     dimensions' keys are checked first.
+
+    The joined order lines, from which two facts and their sums derive, are
+    written once, under ``_staged`` in ``path``; that folder may go afterwards.
     """
+    path = path.rstrip("/")
     check_keys(mart)
+
+    def store(name: str, table: DataFrame) -> DataFrame:
+        at = f"{path}/_staged/{name}-{uuid4().hex}"
+        table.write.parquet(at)
+        return table.sparkSession.read.schema(table.schema).parquet(at)
+
+    mart = mart.staged(store)
     for name in STAR:
-        df = mart.table(name)
-        by = [c for c in ("tahun", "bulan") if name.startswith("fakta_") and c in df.columns]
+        df, by = mart.table(name), _facts_by(mart, name)
         if by and not partitioned:
             df = df.drop(*by).repartitionByRange("waktu_id").sortWithinPartitions("waktu_id")
             by = []
-        write_partitioned(df, f"{path.rstrip('/')}/{name}", by)
+        write_partitioned(df, f"{path}/{name}", by)
+    for name in filter(mart.has, Mart.derived):
+        write_partitioned(mart.table(name), f"{path}/{name}")
+
+
+def publish_mart(mart: Mart, path: str, partitioned: bool = True) -> str:
+    """Save a mart beside earlier ones and make it the current one at once; its name.
+
+    All tables are complete before one row names the version, so readers of
+    ``load_published`` see every table of the old mart or every table of the
+    new one, whatever fails in between.
+    """
+    version, path = f"mart-{uuid4().hex}", path.rstrip("/")
+    save_mart(mart, f"{path}/{version}", partitioned)
+    spark = mart.dim_waktu.sparkSession
+    entry = spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("at"))
+    entry.coalesce(1).write.mode("append").parquet(f"{path}/versions")
+    return version
+
+
+def load_published(spark: SparkSession, path: str, version: str | None = None, partitioned: bool = True) -> Mart:
+    """The mart that was published last, or the named one."""
+    path = path.rstrip("/")
+    if version is None:
+        last = spark.read.schema("version string, at timestamp").parquet(f"{path}/versions")
+        version = last.orderBy(F.col("at").desc(), "version").first()["version"]
+    return load_mart(spark, f"{path}/{version}", partitioned)
 
 
 def written_once(

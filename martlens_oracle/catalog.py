@@ -725,7 +725,8 @@ _SAME_ROWS = {
     "catalog_state_distribution_seller": "state_distribution_seller",
     "text_period_items_sold": "kpi_items_sold_ym",
     "blank_period_items_sold": "kpi_items_sold_all",
-    **{f"flat_sales_series_{p}": f"sales_series_{p}" for p in PERIODS},
+    **{f"flat_payment_methods_{p}": f"payment_methods_{p}" for p in PERIODS},
+    **{f"loaded_sales_series_{p}": f"sales_series_{p}" for p in PERIODS},
 }
 
 _BOUGHT = {
@@ -749,6 +750,52 @@ def _sources(known: dict[str, str]) -> dict[str, str]:
     return sql
 
 
+def _positions(totals: str) -> str:
+    return f"""SELECT row_number() OVER (ORDER BY total_revenue DESC NULLS FIRST, label) AS pos,
+                      label, total_qty,
+                      CAST(coalesce(total_revenue, 0) AS DOUBLE) AS total_revenue
+               FROM ({totals})"""
+
+
+def _of_any_size() -> dict[str, str]:
+    sellers = _positions(_sellers("all"))
+    comma = "CASE WHEN pos > 1 THEN ',' ELSE '' END"
+    last = 2**63 - 1
+    points = [
+        ("day", "tahun, bulan, tanggal"), ("month", "tahun, bulan, NULL"),
+        ("year", "tahun, NULL, NULL"), ("known", "NULL, NULL, NULL"),
+    ]
+    sums = "CAST(sum(total_harga) AS DOUBLE) AS revenue, CAST(sum(jumlah) AS BIGINT) AS qty"
+
+    def grain(name: str, names: str, source: str) -> str:
+        tahun, bulan, tanggal = names.split(", ")
+        keys = [c for c in (tahun, bulan, tanggal) if c != "NULL"]
+        group = f"GROUP BY {', '.join(keys)}" if keys else ""
+        return f"""SELECT '{name}' AS grain, CAST({tahun} AS INTEGER) AS tahun,
+                          CAST({bulan} AS INTEGER) AS bulan, CAST({tanggal} AS DATE) AS tanggal,
+                          {sums} FROM {source} {group}"""
+
+    dated = "fakta_penjualan JOIN dim_waktu USING (waktu_id)"
+    rollup = [grain(name, names, dated) for name, names in points]
+    rollup.append(grain("every", "NULL, NULL, NULL", "fakta_penjualan"))
+    sql = {
+        "customer_positions": _positions(_customers("all")),
+        "seller_positions": sellers,
+        "json_fragments_sellers": f"""
+            SELECT 0 AS part, pos AS place, {comma} || '"' || label || '"' AS fragment FROM ({sellers})
+            UNION ALL SELECT 1, pos, {comma} || total_qty FROM ({sellers})
+            UNION ALL VALUES (0, CAST(0 AS BIGINT), '{{"label":['), (0, {last}, ']'),
+                             (1, 0, ',"total_qty":['), (1, {last}, ']}}')""",
+        "mart_sales_rollup": " UNION ALL ".join(rollup),
+    }
+    for p in PERIODS:
+        sql[f"active_customers_{p}"] = (
+            "SELECT count(DISTINCT pelanggan_key) AS active_customers "
+            + _facts("fakta_penjualan", p)
+        )
+    return {name: with_tables(text) for name, text in sql.items()}
+
+
 def oracle_queries() -> dict[str, str]:
     known = {
         **_model_tables(),
@@ -758,4 +805,4 @@ def oracle_queries() -> dict[str, str]:
         **_insights(),
         **_pairs(),
     }
-    return known | _sources(known)
+    return known | _sources(known) | _of_any_size()

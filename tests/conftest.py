@@ -69,3 +69,18 @@ def tuples(df) -> list[tuple]:
 def plan_of(df) -> str:
     """The executed plan as text, after adaptive execution where it ran."""
     return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture
+def all_tasks(spark):
+    """Small results stay in as many partitions as large ones, and plans name whole paths."""
+    settings = {
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.maxMetadataStringLength": "100000",
+    }
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    yield
+    for key, value in before.items():
+        spark.conf.unset(key) if value is None else spark.conf.set(key, value)

@@ -1,8 +1,15 @@
-from conftest import tuples
+import re
+from datetime import datetime
+from decimal import Decimal
+
+from conftest import plan_of, tuples
+from pyspark.sql import functions as F
 
 from martlens.plans.build import open_mart, open_normalized
 from martlens.plans.pairs import PAIRS
-from martlens.plans.reconcile import reconcile, reconcile_all, run_pair
+from martlens.plans.build import build_mart
+from martlens.plans.reconcile import reconcile, reconcile_all, run_pair, summarize
+from martlens.sources.stored import load_mart, load_normalized, save_mart
 
 DIFFER = {"q04", "q16", "q17"}
 
@@ -61,3 +68,67 @@ def test_day_sums_equal_month_sums(spark, sf001):
     month = [row for row in tuples(sales_series(m, Period(1997))) if row[1] == "03"][0]
     assert round(sum(row[2] for row in days), 2) == month[2]
     assert sum(row[3] for row in days) == month[3]
+
+
+def one_by_one(n, m) -> dict[str, tuple]:
+    return {name: tuple(summarize(reconcile(pair, n, m), pair).first())[1:] for name, pair in PAIRS.items()}
+
+
+def all_at_once(n, m) -> dict[str, tuple]:
+    return {row.pair: tuple(row)[1:] for row in reconcile_all(n, m).collect()}
+
+
+def test_one_pass_gives_what_single_comparisons_give(make_normalized):
+    """NULL names, items without orders, orders without items or customers, ties beyond ten."""
+    at = datetime
+    n = make_normalized(
+        orders=[(i, f"C{i % 13}" if i % 5 else None, at(2018, 1 + i % 12, 3, 10), at(2018, 12, 20) if i % 3 else None)
+                for i in range(40)],
+        order_items=[(i % 45, 1 + i // 45, f"P{i % 17}" if i % 11 else None, f"S{i % 14}", Decimal(i % 7) if i % 9 else None, 1 + i % 3)
+                     for i in range(160)],
+        products=[(f"P{i}", "ABC"[i % 3] if i % 4 else None) for i in range(14)],
+        product_category_translation=[("A", "a"), ("B", "b")],
+        customers=[(f"C{i}", ["SP", "SP ", "", None][i % 4]) for i in range(11)],
+        sellers=[(f"S{i}", "RJ") for i in range(12)],
+        order_payments=[(i % 40, ["x", "y", None][i % 3]) for i in range(50)],
+        order_reviews=[(at(2017 + i % 3, 5, 1), i % 6 if i % 7 else None) for i in range(30)],
+    )
+    for mode in ("unit", "quantity"):
+        m = build_mart(n, mode)
+        assert all_at_once(n, m) == one_by_one(n, m)
+
+
+def test_one_pass_over_nothing(make_normalized):
+    n = make_normalized()
+    m = build_mart(n)
+    assert all_at_once(n, m) == one_by_one(n, m)
+    assert all_at_once(n, m)["q12"] == (0, 0, None, None, 0, 0, 0.0, True)
+
+
+def test_each_base_table_is_read_once(spark, sf0001, tmp_path):
+    n = open_normalized(spark, sf0001)
+    for name in n.names():
+        n.table(name).write.parquet(str(tmp_path / "n" / name))
+    save_mart(open_mart(spark, sf0001, "unit"), str(tmp_path / "m"))
+    stored, mart = load_normalized(spark, str(tmp_path / "n")), load_mart(spark, str(tmp_path / "m"))
+    report = reconcile_all(stored, mart)
+    wide = "spark.sql.maxMetadataStringLength"
+    spark.conf.set(wide, "100000")
+    try:
+        plan = plan_of(report)
+    finally:
+        spark.conf.unset(wide)
+    read = sorted(re.findall(r"/([nm]/\w+)[],]", " ".join(re.findall(r"Location: \S+ ?paths?\)?\[[^]]*\]", plan))))
+    assert len(read) == len(set(read)) and len(read) == 16
+    assert {name for name, row in ((r.pair, r) for r in report.collect()) if not row.match} == DIFFER
+
+
+def test_a_hot_order_and_a_hot_product_in_one_pass(spark, sf0001):
+    """A third of all items of one order and one product: both ways agree."""
+    n = open_normalized(spark, sf0001)
+    items = n.order_items
+    many = items.limit(1).crossJoin(spark.range(3000)).drop("id")
+    hot = n.replace(order_items=items.unionByName(many.withColumn("price", F.lit(1.5).cast("decimal(18,2)"))))
+    found = all_at_once(hot, build_mart(hot, "unit"))
+    assert {name for name, row in found.items() if not row[-1]} == DIFFER
+    assert found["q08"][2] == items.count() + 3000

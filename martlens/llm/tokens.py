@@ -5,7 +5,8 @@ pieces into which its own rules split a text anyway, and each worker remembers
 what it said of a piece, because most words come again. That holds for
 tokenizers that drop white space and encode runs of letters apart; for any
 other file, and for words that these rules could treat otherwise, the library
-gets the text or word as it is.
+gets the text or word as it is. Plain text is split into pieces at once, other
+text into words first.
 """
 
 from __future__ import annotations
@@ -19,10 +20,17 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 #: Words and pieces of a generation that is remembered, and the longest one kept.
-WORDS, PIECES, LONG = 300_000, 200_000, 64
+WORDS, PIECES, LONG = 200_000, 300_000, 64
 _TAIL = b".,!?;:"
 #: How the known tokenizer splits an ASCII word, in lower case (fixed by its file).
 _ASCII = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+#: What a text holds that is not plain: other characters, or a special token. In plain
+#: text (ASCII and Latin-1 letters) every character is its own normal form.
+_ODD = re.compile(r"[^\t\n\r -~À-ÖØ-öø-ÿ]|<\|")
+#: How the known tokenizer splits plain text, in lower case (fixed by its file).
+_PLAIN = re.compile(
+    "'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9\\t\\n\\r ]+"
+)
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
@@ -64,14 +72,25 @@ class _Memory(dict):
 class _Pieces(_Memory):
     """Ids of runs that the tokenizer's rules keep in one piece."""
 
-    def __init__(self, model: object) -> None:
+    def __init__(self, model: object, n_ids: int) -> None:
         super().__init__(PIECES)
-        self.model = model
+        self.tokenize = model.tokenize
+        self.bytes_of = [struct.pack("<I", i) for i in range(n_ids)]
 
-    def work_out(self, piece: str) -> bytes:
-        written = piece if piece.isascii() else "".join(_ALPHABET[b] for b in piece.encode())
-        ids = [token.id for token in self.model.tokenize(written)]
-        return struct.pack(f"<{len(ids)}I", *ids)
+    def __missing__(self, piece: str) -> bytes:
+        # As above, with little between the library and the memory.
+        data = self.old.get(piece)
+        if data is None:
+            written = piece if piece.isascii() else "".join(_ALPHABET[b] for b in piece.encode())
+            bytes_of = self.bytes_of
+            data = b"".join([bytes_of[token.id] for token in self.tokenize(written)])
+            if len(piece) > LONG:
+                return data
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[piece] = data
+        return data
 
 
 class _Words(_Memory):
@@ -116,7 +135,7 @@ class WordEncoder:
             and [part["type"] for part in parts] == ["Split", "ByteLevel"]
             and spec["model"]["type"] == "BPE"
         )
-        self.pieces = _Pieces(self.tokenizer.model)
+        self.pieces = _Pieces(self.tokenizer.model, self.tokenizer.get_vocab_size())
         self.words = _Words(self)
 
     @staticmethod
@@ -131,10 +150,12 @@ class WordEncoder:
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """The ids of each text, in order; a null or empty text has none."""
-        look_up = self.words.__getitem__
+        look_up, of_piece = self.words.__getitem__, self.pieces.__getitem__
         for text in texts:
             if not text:
                 yield b""
+            elif self.by_word and not _ODD.search(text):
+                yield b"".join(map(of_piece, _PLAIN.findall(text.lower())))
             elif self.by_word:
                 yield b"".join(map(look_up, text.encode("utf-8", "surrogatepass").split()))
             else:

@@ -51,11 +51,13 @@ def tokenizer(spark):
     return Q.tokenizer(spark)
 
 
-def test_words_are_encoded_as_the_library_encodes_texts(awkward, sf0001, spark, tokenizer):
+def test_words_are_encoded_as_the_library_encodes_texts(awkward, sf001, spark, tokenizer):
     encoder = WordEncoder.of(tokenizer)
     texts = [r.text for r in awkward.collect()] + [
-        r.text for r in Q.table(spark, sf0001, "documents").limit(60).collect()
+        r.text for r in Q.table(spark, sf001, "documents").collect()
     ]
+    texts += ["Don't I'LL we've ça ÀÉß x²½ µm  a\tb\r\nc 's''t 12ab34 _ab_ <|endoftext|> ~ \x0b \x85 \xa0 ª",
+              "ÀÈ÷×ÿ", "naïve ÿ'D café's", "a\x1cb", "ab" * 5000, "'" * 300, "e\u0301 É", "1²3"]
     for text, data in zip(texts, encoder.encode(texts), strict=True):
         assert data == encoder.whole(text or "")
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from martlens.llm.store import written
+from martlens.llm.store import unused, written
 
 WIDTH = 5
 #: Sketch rows up to which the items' sketches are broadcast; more are shuffled.
@@ -116,6 +116,7 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, percent: int = 80) ->
 def decontaminate(docs: DataFrame, benchmark: DataFrame, percent: int = 80) -> DataFrame:
     """The documents that hold no benchmark item, unchanged, in all their columns."""
     found = contained_items(docs, benchmark, percent)
-    names = found.select(F.xxhash64("doc_id", "text_hash").alias("_held")).distinct()
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", F.xxhash64("text")))
-    return keyed.join(names, F.col("_key") == F.col("_held"), "left_anti").drop("_key")
+    key, held = unused(docs, "_key"), unused(docs, "_held")
+    names = found.select(F.xxhash64("doc_id", "text_hash").alias(held)).distinct()
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", F.xxhash64("text")))
+    return keyed.join(names, F.col(key) == F.col(held), "left_anti").drop(key)

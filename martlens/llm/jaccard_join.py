@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from martlens.llm.arrow import batches_of, chunks, joined_chunks
 from martlens.llm.components import components
 from martlens.llm.membership import bloom_of
-from martlens.llm.store import ship, written
+from martlens.llm.store import ship, unused, written
 from martlens.llm.words import parity_sketch, set_hash, shingle_sets
 
 #: A sketch has about as many bits as its set has shingles, within these bounds.
@@ -510,9 +510,10 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, leaf: int = LEA
     every, named = _united(docs, width, percent, leaf)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("w")
     winners = every.where("n > 0").join(named, "h").groupBy("root").agg(first)
-    winners = winners.select(F.xxhash64("w.doc_id", "w.text_hash").alias("_winner"))
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", F.xxhash64("text")))
+    key, winner = unused(docs, "_key"), unused(docs, "_winner")
+    winners = winners.select(F.xxhash64("w.doc_id", "w.text_hash").alias(winner))
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", F.xxhash64("text")))
     has_words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    kept = keyed.where(has_words).join(winners, F.col("_key") == F.col("_winner"), "left_semi")
-    kept = kept.dropDuplicates(["_key"])
-    return kept.unionByName(keyed.where(~has_words)).drop("_key")
+    kept = keyed.where(has_words).join(winners, F.col(key) == F.col(winner), "left_semi")
+    kept = kept.dropDuplicates([key])
+    return kept.unionByName(keyed.where(~has_words)).drop(key)

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from martlens.llm.store import written
+from martlens.llm.store import unused, written
 
 #: Sites from which on a line is boilerplate, and the sketches' size and standard error.
 MIN_SITES, LG_K, ERROR = 8, 10, 0.033
@@ -57,10 +57,12 @@ def remove_shared_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFram
     treated alike. A null source is a site of its own, and a null text has no
     lines and stays null. No documents, no rows.
 
-    ``removed_lines`` is added: how many lines the document lost.
+    ``removed_lines`` is added: how many lines the document lost. It takes the
+    place of a column of that name.
     """
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", F.xxhash64("text"), F.length("text")))
-    given = keyed.select(F.col("_key").alias("key"), "doc_id", "text", "source")
+    id_, gone, cut = (unused(docs, name) for name in ("_key", "_lost", "_places"))
+    keyed = docs.withColumn(id_, F.xxhash64("doc_id", F.xxhash64("text"), F.length("text")))
+    given = keyed.select(F.col(id_).alias("key"), "doc_id", "text", "source")
     lines, boilerplate = shared_lines(given, min_sites)
     found = written(lines.join(boilerplate, "hash").drop("site"), "found")
     first = found.groupBy("hash").agg(
@@ -69,15 +71,14 @@ def remove_shared_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFram
     lost = found.join(first, "hash").where(
         (F.col("key") != F.col("first.key")) | (F.col("place") != F.col("first.place"))
     )
-    lost = lost.groupBy(F.col("key").alias("_lost")).agg(F.collect_set("place").alias("_places"))
-    joined = keyed.join(lost, F.col("_key") == F.col("_lost"), "left")
-    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_places", i))
-    text = F.when(F.col("_places").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    lost = lost.groupBy(F.col("key").alias(gone)).agg(F.collect_set("place").alias(cut))
+    joined = keyed.join(lost, F.col(id_) == F.col(gone), "left")
+    whole = F.col(cut).isNull()
+    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(cut, i))
+    text = F.when(whole, F.col("text")).otherwise(F.array_join(kept, "\n"))
     out = joined.withColumn("text", text).withColumn(
-        "removed_lines", F.coalesce(F.size("_places"), F.lit(0))
+        "removed_lines", F.coalesce(F.size(cut), F.lit(0))
     )
     if "n_chars" in docs.columns:
-        out = out.withColumn(
-            "n_chars", F.when(F.col("_places").isNull(), F.col("n_chars")).otherwise(F.length("text"))
-        )
-    return out.select(*docs.columns, "removed_lines")
+        out = out.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text")))
+    return out.select(*[c for c in docs.columns if c != "removed_lines"], "removed_lines")

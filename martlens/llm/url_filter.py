@@ -43,8 +43,9 @@ def judge_urls(
     A rule fits its host and all subdomains, if the url's path starts with the
     rule's. Each url names the canonical rules that could fit it: its host and
     the host's parents, each with every beginning of its path whose length the
-    list has (the list's distinct lengths are the only thing collected). A
-    blocked Bloom filter of the list lets few of them pass, and a hash join
+    list has, and no parent of more labels than any host of the list (the
+    list's distinct lengths and numbers of labels are all that is collected, so
+    a host of thousands of labels names no more than a short one). A blocked Bloom filter of the list lets few of them pass, and a hash join
     with the list removes the false positives. The list may have any size: the
     filter's is bounded, and the join is not forced to broadcast.
 
@@ -64,6 +65,7 @@ def judge_urls(
         .withColumn("key", F.xxhash64("host", "path"))
     )
     lengths = sorted(row[0] for row in listed.select(F.length("path")).distinct().collect())
+    deepest = listed.agg(F.max(F.size(F.split("host", r"\.")))).first()[0] or 1
     filter_ = spark.sparkContext.broadcast(bloom_of(listed.select("key"), most_filter_bytes))
 
     @F.pandas_udf(T.ArrayType(T.BooleanType()))
@@ -80,7 +82,7 @@ def judge_urls(
     )
     labels = F.split("host", r"\.")
     hosts = F.transform(
-        F.sequence(F.lit(1), F.size(labels)),
+        F.sequence(F.greatest(F.size(labels) - deepest + 1, F.lit(1)), F.size(labels)),
         lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
     )
     begins = F.filter(

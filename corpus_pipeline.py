@@ -2,6 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all documents that the
 one before it kept; all but the last return the columns of ``documents``.
+
+A null or empty text is judged like a text without words: it is not toxic unless
+most labelled rows are, has no shared line, no near copy and no benchmark item, and
+is packed as an end id alone. Long texts are read whole. Repeated rows and null
+ids are rows of their own, but as near copies of each other only one stays. A stage
+without rows, labels or items keeps what it is given, and no documents give no
+pieces. Further columns are carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,8 +30,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of a line on many sites only its first occurrence stays."""
-    return remove_shared_lines(docs).drop("removed_lines")
+    """Of a line on many sites only its first occurrence stays; no document goes."""
+    return remove_shared_lines(docs).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +57,8 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: SQL can express neither the classifier nor the packing; tests use brute force.
+#: SQL can express neither the classifier nor the packing. Tests hold each stage against
+#: a brute-force version of it on planted documents.
 ORACLE_SQL = None
 
 

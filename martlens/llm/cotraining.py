@@ -7,20 +7,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from martlens.llm.arrow import batches_of
 from martlens.llm.linear import fit_dense, sigmoid
 from martlens.llm.store import ship, written
 from martlens.llm.toxicity import held_out
-from martlens.llm.words import U64, mix, word_hashes
+from martlens.llm.words import _segments, word_hashes
 
 #: Labelled rows learnt from (per label), rounds, and how sure a view must be to give a label.
 SAMPLE, ROUNDS, SURE = 6_000, 5, 0.95
-#: Hash classes of each metadata value.
-_VALUES = 32
-_PART = 1 << 20
+#: Languages, and sources, that are columns of their own; further ones share so many columns.
+VALUES, SHARED = 512, 32
 
 _KIND = np.full(256, 5)
 _KIND[48:58] = 0
@@ -37,10 +36,10 @@ def content(text: str | None) -> np.ndarray:
     n = max(1, len(codes))
     kinds = np.zeros(6)
     words = []
-    for low in range(0, len(codes), _PART):
-        kinds += np.bincount(_KIND[codes[low : low + _PART]], minlength=6)
-        words.append(word_hashes(data[low : low + _PART])[0])
-    words = np.concatenate(words) if words else np.zeros(0, U64)
+    for part in _segments(data):  # cut between words
+        kinds += np.bincount(_KIND[np.frombuffer(part, np.uint8)], minlength=6)
+        words.append(word_hashes(part)[0])
+    words = np.concatenate(words)
     count = max(1, len(words))
     distinct, times = np.unique(words, return_counts=True)
     lines = data.count(b"\n") + 1
@@ -67,25 +66,52 @@ def content(text: str | None) -> np.ndarray:
     return np.array(values, float)
 
 
-def _value_class(value: object, seed: int) -> int:
-    data = str(value).encode("utf-8", "surrogatepass") if value is not None else b"\x00"
-    total = U64(seed)
-    for code in data[:256]:
-        total = mix(np.array([total ^ U64(code)], U64))[0]
-    return int(total % U64(_VALUES))
+class Metadata:
+    """Metadata view: which columns are 1, of language and source by value, and size by range.
+
+    ``values`` are the hashes of the languages and sources with columns of
+    their own; if there are more, the others share some columns by hash.
+    """
+
+    def __init__(self, values: tuple[list[int], list[int]]) -> None:
+        self.columns, self.shared, at = [], [], 0
+        for known in values:
+            self.columns.append({value: at + i for i, value in enumerate(known)})
+            at += len(known)
+            self.shared.append(at if len(known) >= VALUES else None)
+            at += SHARED if len(known) >= VALUES else 0
+        self.sizes, self.width = at, at + 17
+
+    def places(self, lang: int, source: int, n_chars: int | None) -> np.ndarray:
+        """The three columns, and how many there are."""
+        found = []
+        for value, columns, shared in zip((lang, source), self.columns, self.shared, strict=True):
+            place = columns.get(value)
+            found.append(shared + value % SHARED if place is None else place)
+        size = 16 if n_chars is None or n_chars < 0 else min(15, int(np.log2(n_chars + 1)))
+        return np.array([*found, self.sizes + size, self.width], np.int32)
+
+
+def _value_hash(column: str) -> Column:
+    """A hash of the whole value; NULL is a value too."""
+    return F.xxhash64(F.col(column).isNull(), F.col(column).cast("string"))
 
 
-def metadata(lang: str | None, source: str | None, n_chars: int | None) -> np.ndarray:
-    """Metadata view: the columns that are 1, of language and source by hash class, and size by range."""
-    size = 16 if n_chars is None or n_chars < 0 else min(15, int(np.log2(n_chars + 1)))
-    places = _value_class(lang, 1), _VALUES + _value_class(source, 2), 2 * _VALUES + size
-    return np.array(places, np.int32)
+def _metadata(docs: DataFrame) -> Metadata:
+    """Columns for the commonest languages and sources of all documents."""
+    values = []
+    for column in ("lang", "source"):
+        counted = docs.groupBy(_value_hash(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+        common = counted.orderBy(F.desc("n"), "value").limit(VALUES)
+        values.append([row["value"] for row in common.collect()])
+    return Metadata((values[0], values[1]))
 
 
 def _both(x: list[bytes], m: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Columns of both views, from the bytes of their features."""
-    known = np.zeros((len(m), 2 * _VALUES + 17))
-    np.put_along_axis(known, np.frombuffer(b"".join(m), np.int32).reshape(-1, 3), 1.0, axis=1)
+    places = np.frombuffer(b"".join(m), np.int32).reshape(-1, 4)
+    known = np.zeros((len(m), int(places[0, 3]) if len(m) else 17))
+    np.put_along_axis(known, places[:, :3], 1.0, axis=1)
     return np.frombuffer(b"".join(x)).reshape(len(x), len(content(""))), known
 
 
@@ -201,12 +227,13 @@ def co_train(
 def _features(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, x, m): both views' features of every document."""
     schema = "doc_id long, held_out boolean, x binary, m binary"
+    view = _metadata(docs)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = [content(t.as_py()).tobytes() for t in batch.column(2)]
             columns = [batch.column(i).to_pylist() for i in (3, 4, 5)]
-            m = [metadata(*row).tobytes() for row in zip(*columns, strict=True)]
+            m = [view.places(*row).tobytes() for row in zip(*columns, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(x, pa.binary()), pa.array(m, pa.binary())],
                 ["doc_id", "held_out", "x", "m"],
@@ -216,8 +243,8 @@ def _features(docs: DataFrame) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"),
         held_out(F.col("doc_id")).alias("held_out"),
         "text",
-        F.col("lang").cast("string").alias("lang"),
-        F.col("source").cast("string").alias("source"),
+        _value_hash("lang").alias("lang"),
+        _value_hash("source").alias("source"),
         F.col("n_chars").cast("long").alias("n_chars"),
     )
     return rows.mapInArrow(read, schema)
@@ -254,7 +281,8 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     One row per document, repeated and null ids included: doc_id, held_out,
     score (0 to 1, higher is better), text_score, metadata_score, predicted (1
-    if score >= 0.5). Null or empty texts and null metadata have values of
+    if score >= 0.5). The ``VALUES`` commonest languages and sources, by their
+    whole values, have a weight each; rarer ones share ``SHARED`` weights. Null or empty texts and null metadata have values of
     their own in the features. Without rows of both labels every score is the
     share of good rows (0.5 where there is none).
     """

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
 from martlens.model import Mart, Normalized
 from martlens.plans.pairs import PAIRS, Pair
@@ -12,7 +13,8 @@ from martlens.plans.shared import shared_cells
 from martlens.sources.literals import literal_table
 
 #: Holds every exact measure: cents of any amount, and any count.
-_EXACT = "decimal(38,4)"
+_PLACES = 4
+_EXACT = f"decimal(38,{_PLACES})"
 
 
 def _tall(side: DataFrame, pair: Pair, name: str) -> DataFrame:
@@ -21,6 +23,10 @@ def _tall(side: DataFrame, pair: Pair, name: str) -> DataFrame:
         F.struct(F.lit(pair.name).alias("pair"), *pair.keys), {"ignoreNullFields": "false"}
     )
     kinds = dict(side.dtypes)
+    for measure in pair.measures:
+        kind = side.schema[measure].dataType
+        if isinstance(kind, DecimalType) and kind.scale > _PLACES:
+            raise ValueError(f"{pair.name}: {measure} has more than {_PLACES} decimal places")
 
     def cell(measure: str) -> Column:
         value, inexact = F.col(measure), kinds[measure] in ("double", "float")

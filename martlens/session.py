@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable, Hashable
-from threading import RLock
+from dataclasses import dataclass, field
+from threading import Lock, RLock
 from typing import TypeVar
 from uuid import uuid4
 from weakref import WeakKeyDictionary
@@ -13,21 +14,30 @@ from pyspark.sql import DataFrame, SparkSession
 
 T = TypeVar("T")
 
-_building = RLock()
-_remembered: WeakKeyDictionary[SparkSession, dict[Hashable, object]] = WeakKeyDictionary()
+@dataclass
+class _Slot:
+    """What was made for one key, and the lock of those who wait for it."""
+
+    lock: RLock = field(default_factory=RLock)
+    made: list = field(default_factory=list)
+
+
+_finding = Lock()
+_remembered: WeakKeyDictionary[SparkSession, dict[Hashable, _Slot]] = WeakKeyDictionary()
 
 
 def once_per_session(spark: SparkSession, key: Hashable, make: Callable[[], T]) -> T:
     """What ``make()`` returned the first time this session asked for ``key``.
 
     Used for opened tables, so that files are listed and their footers read
-    once and not by each query.
+    once and not by each query. Threads that ask for other keys do not wait.
     """
-    with _building:
-        known = _remembered.setdefault(spark, {})
-        if key not in known:
-            known[key] = make()
-        return known[key]  # type: ignore[return-value]
+    with _finding:
+        slot = _remembered.setdefault(spark, {}).setdefault(key, _Slot())
+    with slot.lock:
+        if not slot.made:
+            slot.made.append(make())
+        return slot.made[0]
 
 
 def local_session(app: str, cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:

@@ -270,3 +270,11 @@ def test_one_cent_of_a_large_total_is_a_difference(spark, make_normalized):
     )
     row = reconcile(pair, n, build_mart(n)).first()
     assert not row.match and row.delta == 0.01
+
+
+def test_measures_of_too_many_places_are_refused(spark, make_normalized):
+    n = make_normalized()
+    fine = spark.createDataFrame([(Decimal("0.00001"),)], "total_revenue decimal(30,5)")
+    pair = replace(PAIRS["q09"], normalized=lambda _: fine, star=lambda _: fine)
+    with pytest.raises(ValueError, match="decimal places"):
+        reconcile(pair, n, build_mart(n))

@@ -1,5 +1,6 @@
 """Where written tables go."""
 
+import threading
 from types import SimpleNamespace
 
 import pytest
@@ -55,3 +56,27 @@ def test_once_per_session():
 
     assert [once_per_session(s, "k", make) for s in (one, one, two)] == [0, 0, 1]
     assert once_per_session(one, "other", make) == 2
+
+
+def test_keys_are_made_side_by_side():
+    """One key waits for another that a second thread makes meanwhile."""
+
+    class Session:
+        pass
+
+    one, other_made = Session(), threading.Event()
+
+    def first():
+        assert other_made.wait(10)
+        return "first"
+
+    def second():
+        other_made.set()
+        return once_per_session(one, "inner", lambda: "second")
+
+    found = []
+    waiting = threading.Thread(target=lambda: found.append(once_per_session(one, "a", first)))
+    waiting.start()
+    assert once_per_session(one, "b", second) == "second"
+    waiting.join(10)
+    assert found == ["first"]

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector
 from pyspark.mllib.linalg import Matrices
 from pyspark.mllib.linalg.distributed import BlockMatrix, IndexedRowMatrix
@@ -220,7 +221,8 @@ def whiten(
     centre = _Centre(fit, length)
     fit, rows = numbered(fit, "tag", "index"), numbered(rows, "tag", "index")
 
-    fitted = _blocks(fit, centre, centre.n, length)
+    # Several products read the fit list's blocks; a lost one is made again.
+    fitted = _blocks(fit, centre, centre.n, length).persist(StorageLevel.MEMORY_AND_DISK)
     values, vectors_of = np.linalg.eigh(_scatter(fitted, centre.n) / centre.n)
     k, total = min(components, length), float(values.sum())
     values, vectors_of = values[::-1][:k], vectors_of[:, ::-1][:, :k]

@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from martlens.llm.store import written
 
 
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(
-        F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
-    ).first()
-    return tuple(row)
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node hangs on one other at most, and nothing hangs on those that do."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("hung")).unionByName(
+        edges.select(F.col("v").alias("node"), F.lit(0).alias("hung"))
+    )
+    held = ends.groupBy("node").agg(F.sum("hung").alias("up"), F.min("hung").alias("least"))
+    return held.where("up > 1 or up = 1 and least = 0").isEmpty()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -31,10 +33,7 @@ def components(links: DataFrame) -> DataFrame:
         .distinct(),
         "links",
     )
-    state = _state(edges)
-    if not state[0]:
-        return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    while True:
+    while not _are_stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"))
         least = least.select("u", F.least("u", "m").alias("m"))
@@ -49,10 +48,6 @@ def components(links: DataFrame) -> DataFrame:
             least.select("u", F.col("m").alias("v"))
         )
         edges = written(hung.where("u <> v").distinct(), "small-star")
-        now = _state(edges)
-        if now == state:
-            break
-        state = now
     pairs = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return pairs.unionByName(roots)

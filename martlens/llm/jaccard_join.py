@@ -8,10 +8,11 @@ near 1 from any pivot, see README.) A region too large to be joined outright
 is cut by pivots: each set goes to the Voronoi cell of its nearest pivot, and
 also to every cell whose pivot is farther by no more than twice the largest
 distance of a link, which by the triangle inequality brings both ends of each
-link into one cell. Cells are cut again in the same way until they are small
-or no longer shrink; what does not shrink is joined block against block. Before that, every set is verified against the nearest
-of its regions' pivots only, which unites most groups of copies; a region whose
-sets are all united has nothing left to join.
+link into one cell. Cells are cut again in the same way until they are small;
+a region that a cut would not halve is left as it was and joined block against
+block. Before that, every set is verified against the nearest of its regions'
+pivots only, the sets that most documents have, which unites most groups of
+copies; a region whose sets are all united has nothing left to join.
 
 Distances inside regions are those of parity sketches. They never exceed the
 sets' symmetric difference, so no link is lost; the pairs that pass are
@@ -39,13 +40,18 @@ LEAST_BITS, MOST_BITS = 256, 1 << 15
 COUNTERS = 1 << 20
 _CHUNK = 1 << 12
 #: Largest region joined outright, pivots per cut, and how often a region is cut.
-LEAF, PIVOTS, DEPTH = 256, 8, 4
+LEAF, PIVOTS, DEPTH = 2048, 8, 4
+#: A cut stands if its cells have at most this share of the region's pairs.
+WORTH = 0.5
 #: Rounds in which a set meets only its nearest pivot.
 PIVOT_ROUNDS = 1
 #: Sets that a task remembers, so as to pass copies over.
 _SEEN = 1 << 16
 #: Untested pairs that a set proposes besides a region's forest, round by round.
-PROPOSALS = (1, 16, 256, 1 << 30)
+PROPOSALS = (4, 64, 1 << 30)
+#: Texts whose sets a task holds at once, rows of regions whose pairs it holds at
+#: once (or one region), and pairs that it walks through at once.
+_SLICE, _HELD, _WALK = 512, 2048, 1 << 16
 _SCAN = (
     "kind int, doc_id long, text_hash long, n long, h long, sketch binary, chunk int, bits binary"
 )
@@ -53,13 +59,19 @@ _ROW = "home long, region long, side int, h long, n long, comp long"
 _FOUND = "a long, b long, home long"
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, _SLICE):
+            yield batch.slice(at, _SLICE)
+
+
 def _scan(docs: DataFrame, width: int) -> DataFrame:
     """Per document (kind 0) its set's size, hash and sketch; per task (kind 1)
     counts of all its documents' shingles by hash class."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = np.zeros(COUNTERS, np.int64)
-        for batch in batches:
+        for batch in _slices(batches):
             rows, held, size = [], [], 0
             texts = (text.as_py() for text in batch.column(1))
             known = zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)
@@ -109,7 +121,7 @@ def _rarest(docs: DataFrame, width: int, percent: int, levels) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = levels.value
         seen: set[int] = set()
-        for batch in batches:
+        for batch in _slices(batches):
             sigs, hashes = [], []
             for found in shingle_sets((text.as_py() for text in batch.column(0)), width):
                 n = len(found)
@@ -130,32 +142,43 @@ def _rarest(docs: DataFrame, width: int, percent: int, levels) -> DataFrame:
 
 
 def _regions(rarest: DataFrame, classes: DataFrame, percent: int, leaf: int) -> DataFrame:
-    """(region, h, n): the sets that share a rare shingle.
+    """(region, h, n, copies): the sets that share a rare shingle.
 
     A region of more than ``leaf`` sets is split by size: sets that can be
-    linked are of one class of sizes or of neighbouring ones.
+    linked are of one class of sizes or of neighbouring ones. Near copies share
+    many rare shingles, so of regions of the same sets one stays.
     """
     met = rarest.groupBy("sig").agg(
         F.min("h").alias("low"), F.max("h").alias("high"), F.count(F.lit(1)).alias("size")
     )
     met = written(met.where("low <> high").select("sig", "size"), "met")
-    members = rarest.join(met, "sig").distinct().join(classes.select("h", "n"), "h")
+    members = rarest.join(met, "sig").distinct().join(classes.select("h", "n", "copies"), "h")
     size_class = F.floor(F.log(F.col("n").cast("double")) / math.log(1.0001 * 100 / percent))
     regions = F.when(F.col("size") <= leaf, F.array(F.xxhash64("sig"))).otherwise(
         F.array(F.xxhash64("sig", size_class), F.xxhash64("sig", size_class + 1))
     )
-    return written(members.select(F.explode(regions).alias("region"), "h", "n"), "members")
+    members = written(members.select(F.explode(regions).alias("region"), "h", "n", "copies"), "members")
+    same = members.groupBy("region").agg(
+        F.count(F.lit(1)).alias("size"),
+        F.min("h").alias("low"),
+        F.max("h").alias("high"),
+        *[F.bit_xor(F.xxhash64("h", F.lit(i))).alias(f"x{i}") for i in range(2)],
+    )
+    once = same.where("low <> high").groupBy("size", "low", "high", "x0", "x1")
+    once = once.agg(F.min("region").alias("region")).select("region")
+    return written(members.join(once, "region", "left_semi"), "regions")
 
 
 def _to_pivots(rows: DataFrame, sketches: DataFrame, tested: DataFrame, percent: int, turn: int) -> DataFrame:
     """Pairs (a, b) of a set and the nearest pivot of its regions that it may be linked to.
 
-    A region's pivot is the set that comes first by a hash, another one each
-    turn; regions of the same copies so have the same pivot. Pivots of the
-    set's own component and pairs tested before are left out.
+    A region's pivot is the set that most documents have, since near copies are
+    mostly copies of that one, and of such sets the one that comes first by a
+    hash, another one each turn; regions of the same copies so have the same
+    pivot. Pivots of the set's own component and pairs tested before are left out.
     """
     schema = "h long, p long, far double"
-    first = F.struct(F.xxhash64("h", F.lit(turn)).alias("x"), "h")
+    first = F.struct((-F.col("copies")).alias("few"), F.xxhash64("h", F.lit(turn)).alias("x"), "h")
     pivot = F.struct(F.col("h").alias("p"), F.col("n").alias("pn"), F.col("comp").alias("pcomp"))
     pivots = rows.groupBy("region").agg(F.min_by(pivot, first).alias("pivot")).select("region", "pivot.*")
     met = rows.join(pivots, "region").where("comp <> pcomp")
@@ -192,7 +215,8 @@ def _to_pivots(rows: DataFrame, sketches: DataFrame, tested: DataFrame, percent:
 
 
 def _rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
-    """Whole regions from batches sorted by region; only the last one is carried on."""
+    """Whole regions from batches sorted by region, as few at a time as make ``_HELD``
+    rows; only the last one is carried on."""
     carried: pa.Table | None = None
     for batch in batches:
         table = pa.Table.from_batches([batch])
@@ -200,8 +224,13 @@ def _rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray
         regions = table.column("region").to_numpy()
         cut = int(np.searchsorted(regions, regions[-1], "left")) if len(regions) else 0
         carried = table.slice(cut)
-        if cut:
-            yield table.slice(0, cut)
+        at = 0
+        while at < cut:
+            # The region that the last of these rows is in is taken whole.
+            last = regions[min(at + _HELD, cut) - 1]
+            end = int(np.searchsorted(regions, last, "right"))
+            yield table.slice(at, end - at)
+            at = end
     if carried is not None and carried.num_rows:
         yield carried
 
@@ -260,12 +289,13 @@ def _propose(
                 x, y = a[i : i + (1 << 13)], b[i : i + (1 << 13)]
                 differ = distance(x, y)
                 ok = differ * (100 + percent) <= (n[x] + n[y]) * (100 - percent)
-                found.append(np.stack([x[ok], y[ok], differ[ok]]))
+                found.append(np.stack([x[ok], y[ok], differ[ok]]).astype(np.int32))
             gap += 1
         if not found:
             return []
         x, y, differ = np.concatenate(found, axis=1)
         order = np.argsort(differ / (n[x] + n[y]), kind="stable")
+        walk = (order[i : i + _WALK] for i in range(0, len(order), _WALK))
         root: dict[tuple, int] = {}
 
         def top(node: tuple) -> tuple:
@@ -276,7 +306,7 @@ def _propose(
         used = np.zeros(len(h), np.int64)
         out: list[tuple[int | None, int | None, int | None]] = []
         unfinished: set[int] = set()
-        for i, j in zip(x[order].tolist(), y[order].tolist(), strict=True):
+        for i, j in (pair for w in walk for pair in zip(x[w].tolist(), y[w].tolist(), strict=True)):
             if h[j] in tested[i]:
                 continue
             p, q = top((region[i], comp[i])), top((region[j], comp[j]))
@@ -305,12 +335,12 @@ def _propose(
 def _cut(rows: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Voronoi cells of regions' pivots, with the boundary sets of other cells.
 
-    A region's pivots are the sets that come first by a hash, one per class of
+    ``parent`` and ``size`` are the region that was cut and its rows. A region's pivots are the sets that come first by a hash, one per class of
     sets, found by an aggregate. A set of ``n`` shingles differs from a linked
     one in at most ``(100 - p) / p * n``.
     """
-    schema = _ROW.replace("region long", "region long, cell int")
-    columns = rows.columns
+    schema = _ROW.replace("region long", "region long, cell int") + ", size long"
+    columns = [*(part.split()[0] for part in _ROW.split(", ")), "size"]
     rows = rows.join(sketches, "h")
     salted = rows.groupBy("region", F.pmod(F.xxhash64("h"), F.lit(PIVOTS)).alias("class")).agg(
         F.min_by("sketch", F.struct(F.xxhash64("region", "h"), "h")).alias("sketch")
@@ -340,7 +370,9 @@ def _cut(rows: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
 
     cut = rows.join(pivots, "region").select(*columns, "sketch", "pivots", "words")
     cut = cut.mapInArrow(read, schema)
-    return cut.withColumn("region", F.xxhash64("region", "cell")).drop("cell")
+    return cut.withColumns(
+        {"parent": F.col("region"), "region": F.xxhash64("region", "cell")}
+    ).drop("cell")
 
 
 def _sizes(rows: DataFrame) -> DataFrame:
@@ -351,22 +383,31 @@ def _sizes(rows: DataFrame) -> DataFrame:
 
 
 def _small_regions(rows: DataFrame, sketches: DataFrame, percent: int, leaf: int) -> DataFrame:
-    """The same meetings in regions of about ``leaf`` rows."""
+    """The same meetings in regions of about ``leaf`` rows.
+
+    A set is in each cell whose window it is in, so a cut can also make more
+    rows and no fewer pairs. Such a region goes into blocks as it was.
+    """
     done: list[DataFrame] = []
-    parent = None
+    stuck: list[DataFrame] = []
     for _ in range(DEPTH):
-        sized = rows.drop("size").join(_sizes(rows), "region")
-        sized = written(sized, "regions")
+        sized = written(rows.join(_sizes(rows), "region"), "regions")
         done.append(sized.where(F.col("size") <= leaf).drop("size"))
-        rows = sized.where(F.col("size") > leaf)
-        most = rows.agg(F.max("size")).first()[0]
-        if most is None or (parent is not None and most > 0.9 * parent):
+        large = sized.where(F.col("size") > leaf)
+        if large.isEmpty():
             break
-        parent = most
-        rows = _cut(rows.drop("size"), sketches, percent)
+        cells = written(_cut(large, sketches, percent), "cells")
+        held = cells.groupBy("parent", "size", "region").agg(F.count(F.lit(1)).alias("rows"))
+        pairs = held.groupBy("parent", "size").agg(F.sum(F.col("rows") * F.col("rows")).alias("pairs"))
+        worth = pairs.where(F.col("pairs") <= WORTH * F.col("size") * F.col("size")).select("parent")
+        stuck.append(large.join(worth, F.col("region") == F.col("parent"), "left_anti"))
+        rows = cells.join(worth, "parent").drop("parent", "size")
     else:
-        rows = rows.drop("size").join(_sizes(rows), "region")
-    if "size" in rows.columns:
+        stuck.append(rows.join(_sizes(rows), "region").select(*large.columns))
+    if stuck:
+        rows = stuck[0]
+        for more in stuck[1:]:
+            rows = rows.unionByName(more)
         blocks = F.ceil(F.col("size") * 2 / leaf)
         own = F.pmod(F.xxhash64("h", "region"), blocks)
         others = F.sequence(F.lit(0).cast("long"), blocks - 1)
@@ -398,7 +439,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, p
     hashed = docs.sparkSession.sparkContext.broadcast(bloom_of(wanted.select(F.xxhash64("rep").alias("k"))))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             hit = hashed.value.test(batch.column(2).to_numpy())
             rows = []
             batch = batch.filter(pa.array(hit))
@@ -436,7 +477,8 @@ def _united(docs: DataFrame, width: int, percent: int, leaf: int) -> tuple[DataF
     counts = scanned.where("kind = 1")
     levels = joined_chunks(counts, "<i8", _CHUNK, COUNTERS, np.add, _levels)
     sets = scanned.where("kind = 0 and n > 0")
-    classes = written(sets.groupBy("h", "n").agg(F.min("doc_id").alias("rep")), "classes")
+    copies = F.count(F.lit(1)).alias("copies")
+    classes = written(sets.groupBy("h", "n").agg(F.min("doc_id").alias("rep"), copies), "classes")
     rarest = written(_rarest(docs, width, percent, spark.sparkContext.broadcast(levels)), "rarest")
     members = _regions(rarest, classes, percent, leaf)
     sketches = sets.join(members.select("h").distinct(), "h", "left_semi")
@@ -450,7 +492,7 @@ def _united(docs: DataFrame, width: int, percent: int, leaf: int) -> tuple[DataF
             "comp", F.coalesce("root", "h")
         )
         rows = labelled.join(_sizes(labelled).select("region"), "region")
-        rows = rows.select("region", "h", "n", "comp")
+        rows = rows.select("region", "h", "n", "copies", "comp")
         if turn < PIVOT_ROUNDS:
             pairs = written(_to_pivots(rows, sketches, tested, percent, turn), "nearest-pivots")
         else:
